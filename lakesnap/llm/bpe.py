@@ -138,6 +138,19 @@ class Transducer:
         return out[::-1]
 
 
+#: White space beyond the space, tab and line ends; and what a plain split at spaces would cut wrongly.
+ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+
+
+def space_pieces(text: str) -> list[str]:
+    """Parts that share no pre-token of a byte vocabulary: cut before the last space of each run of white space."""
+    if any(x in text for x in RUNS) or text.endswith(" ") or ODD.search(text):
+        return re.split(r"(?= \S)", text)
+    first, *rest = text.split(" ")
+    return [first, *(" " + x for x in rest)]
+
+
 class Encoder:
     """Whole texts to ids for the two kinds of vocabulary files: words (lower case, white space dropped, word ends
     marked) and bytes (a space opens the word after it). Texts are cut where neither kind joins anything, and what
@@ -196,20 +209,12 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         """Parts of a text that share no token: split at white space, or before the last space of a run."""
         if not self.by_words:
-            return text.split(" ") if "  " not in text else re.split(r" (?=\S)", text)
+            return space_pieces(text)
         return text.split() if not re.search("[\x1c-\x1f]", text) else [x for x in WHITE.split(text) if x]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
-        pieces = self._pieces(text)
-        if not self.by_words:
-            if len(pieces) > 1:
-                # every piece but the first opens with the space that it was cut at
-                return self._looked_up(pieces[:1]) + self._looked_up([" " + x for x in pieces[1:]])
-        return self._looked_up(pieces)
-
-    def _looked_up(self, pieces: list[str]) -> bytes:
-        memo = self.memo
+        memo, pieces = self.memo, self._pieces(text)
         try:
             return b"".join(map(memo.__getitem__, pieces))
         except KeyError:
@@ -310,7 +315,7 @@ def decode_column(ids, path: str):
                     out.append(None)
                     continue
                 d = encoder(path).decoder()
-                out.append("".join(d.feed(x[k : k + STEP].tolist()) for k in range(0, len(x), STEP)) + d.end())
+                out.append("".join(d.feed(x[k : k + STEP]) for k in range(0, len(x), STEP)) + d.end())
             yield pd.Series(out, dtype=object)
 
     return text(ids)

@@ -19,8 +19,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.repair import token_files
+
+    return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip,)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op4_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
