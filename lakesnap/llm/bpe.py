@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 END = "\0"  # stands for the end-of-word suffix, attached to the last symbol
 #: Entries of a memo before it is emptied; a memo only saves time.
-MEMO = 300_000
+MEMO = 500_000
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
@@ -54,6 +54,12 @@ class Transducer:
         # A token counts if merging its own symbols gives it back; others never come out.
         self.tokens = {t for t in self.ids if len(t) == 1 or (len(t) == 2 and t[1] == END) or self._own_merge(t)}
         self.max_len = max(map(len, self.tokens), default=1)
+        self.endings: dict = {}  # trie of the tokens, read backwards; "" holds the token
+        for t in self.tokens:
+            node = self.endings
+            for c in reversed(t):
+                node = node.setdefault(c, {})
+            node[""] = t
         self._holds: dict[tuple[str, str], bool] = {}
 
     def _own_merge(self, t: str) -> bool:
@@ -104,15 +110,23 @@ class Transducer:
     def encode(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a stream of symbols, each as soon as it is stable."""
         buf, last = "", [""]  # last[i]: last token of the prefix that ends at i
-        step = 2 * self.max_len
+        step, endings, holds = 2 * self.max_len, self.endings, self._holds
         for s in symbols:
             buf += s
             for _ in s[1:]:
                 last.append(None)  # inside a symbol no prefix ends
             n = len(buf)
-            for size in range(min(n, self.max_len), 0, -1):
-                t, before = buf[n - size :], last[n - size]
-                if before is not None and t in self.tokens and (not before or self.borders_hold(before, t)):
+            node, found = endings, []
+            for c in reversed(buf):
+                node = node.get(c)
+                if node is None:
+                    break
+                t = node.get("")
+                if t is not None:
+                    found.append(t)
+            for t in reversed(found):
+                before = last[n - len(t)]
+                if before is not None and (not before or holds.get((before, t)) or ((before, t) not in holds and self.borders_hold(before, t))):
                     last.append(t)
                     break
             else:
@@ -210,7 +224,7 @@ class Encoder:
         """Parts of a text that share no token: split at white space, or before the last space of a run."""
         if not self.by_words:
             return space_pieces(text)
-        return text.split() if not re.search("[\x1c-\x1f]", text) else [x for x in WHITE.split(text) if x]
+        return [x for x in WHITE.split(text) if x] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""

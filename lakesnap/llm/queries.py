@@ -19,14 +19,38 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakesnap.llm.repair import token_files
 
     return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.secrets import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op4_token_files)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_near_duplicates, op4_token_files, op6_toxicity, op8_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
