@@ -37,6 +37,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.lpf import repeats_removed
+
+    return repeats_removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakesnap.llm.mixing import mix_report
 
@@ -50,7 +56,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_near_duplicates, op4_token_files, op6_toxicity, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_near_duplicates, op4_token_files, op6_toxicity, op7_repeats_removed, op8_mixing, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
