@@ -157,6 +157,9 @@ ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 RUNS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 
 
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def space_pieces(text: str) -> list[str]:
     """Parts that share no pre-token of a byte vocabulary: cut before the last space of each run of white space."""
     if any(x in text for x in RUNS) or text.endswith(" ") or ODD.search(text):
@@ -179,7 +182,7 @@ class Encoder:
         if self.by_words:
             self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in before["pretokenizers"] if x["type"] == "Split"))
         else:
-            self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+            self.pattern = regex.compile(BYTE_PATTERN)
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.transducer = Transducer(model["vocab"], merges, self.suffix)

@@ -19,6 +19,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.bitslice import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakesnap.llm.minhash import near_duplicates
 
@@ -55,8 +61,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.graph import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_near_duplicates, op4_token_files, op6_toxicity, op7_repeats_removed, op8_mixing, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_near_duplicates, op4_token_files, op6_toxicity, op7_repeats_removed, op8_mixing, op9_secret_scan, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesnap.llm.bpe import space_pieces
+from lakesnap.llm.bpe import BYTE_PATTERN, ODD, RUNS, byte_symbols, space_pieces
 from lakesnap.llm.common import partitions, scratch
 
 MAGIC = 0x52504731
@@ -41,17 +41,24 @@ def grammar(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUND
     """Re-Pair over one shard: in each round, the a_round most frequent pairs get a nonterminal each, until no pair
     occurs `least` times or `rounds` are over. -> rules (n x 2), symbols, symbols of each document."""
     seq = ids.astype(np.uint32)
-    doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
+    ends = np.zeros(len(seq), bool)  # last symbols of documents
+    ends[np.cumsum(lengths, dtype=np.int64)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
-    n, bits = base, 20
+    n, bits = base, 18
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        bucket = (seq[:-1] * np.uint32(2654435761) + seq[1:] * np.uint32(2246822519)) >> np.uint32(32 - bits)
-        inside = doc[:-1] == doc[1:]
-        counts = np.bincount(bucket[inside], minlength=1 << bits)
-        often = np.partition(counts, -a_round)[-a_round]  # every pair above it shows in these buckets
-        at = np.flatnonzero(inside & (counts >= max(often, least))[bucket])
+        hashed = seq[:-1] * np.uint32(2654435761)
+        hashed += seq[1:] * np.uint32(2246822519)
+        hashed >>= np.uint32(32 - bits)
+        hashed[ends[:-1]] = 1 << bits  # no pair
+        bucket = hashed.astype(np.intp)
+        counts = np.bincount(bucket, minlength=(1 << bits) + 1)
+        counts[-1] = 0
+        # the buckets that hold the a_round most frequent pairs, at least
+        above = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]
+        often = int(np.searchsorted(-above, -a_round, "right")) - 1
+        at = np.flatnonzero((counts >= max(often, least))[bucket])
         keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         pairs, count = np.unique(keys, return_counts=True)
         pairs, count = pairs[count >= least], count[count >= least]
@@ -67,12 +74,15 @@ def grammar(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUND
         take = (np.arange(len(at)) - run) % 2 == 0
         at, rule = at[take], rule[take]
         seq[at] = n + rule
+        ends[at] = ends[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, doc = seq[keep], doc[keep]
+        seq, ends = seq[keep], ends[keep]
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         n += len(pairs)
-    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq, np.bincount(doc, minlength=len(lengths)).astype(np.uint32)
+    per_doc = np.zeros(len(lengths), np.uint32)
+    per_doc[lengths > 0] = np.diff(np.r_[0, np.flatnonzero(ends) + 1])
+    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq, per_doc
 
 
 def expansions(rules: np.ndarray, base: int) -> np.ndarray:
@@ -148,36 +158,84 @@ class Shard:
 
 
 class Pieces:
-    """Ids of texts by the tokenizers library. Each distinct piece goes to the library once (a bounded memo keeps its
-    ids); pieces are cut before the last space of a run of white space, which never shares a pre-token with what is
-    before it."""
+    """Ids of texts as the tokenizers library gives them. Texts are cut before the last space of each run of white
+    space, which no pre-token crosses. Each distinct piece is encoded once (a bounded memo keeps its ids), many at a
+    time: behind the cut a piece opens with its only space, so the ids of a run of pieces come apart at the tokens that
+    open with a space. The merges run in tiktoken, built from the same vocabulary; a piece that holds a special token
+    goes to the library itself."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.base = self.lib.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[str, bytes] = {}
+        special = {x.content for x in self.lib.get_added_tokens_decoder().values()}
+        self.special = tuple(special)
+        of = {c: b for b, c in enumerate(byte_symbols())}
+        ranks = {bytes(of[c] for c in t): i for t, i in self.lib.get_vocab().items() if t not in special}
+        self.fast = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(self.base, bool)
+        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+        self.memo: dict[str, bytes] = {}  # by piece, without the space that opens it
+
+    def _slow(self, piece: str) -> bytes:
+        return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """pieces have no white space at either end."""
+        if len(self.memo) + len(pieces) > MEMO:
+            self.memo.clear()
+        odd = [p for p in pieces if any(x in p for x in self.special)]
+        for p in odd:
+            self.memo[p] = self._slow(" " + p)
+        if odd:
+            pieces = [p for p in pieces if p not in self.memo]
+        if pieces:
+            ids = np.array(self.fast.encode_ordinary(" " + " ".join(pieces)), "<u4")
+            cuts = (4 * np.r_[np.flatnonzero(self.opens[ids]), len(ids)]).tolist()
+            raw = ids.tobytes()
+            self.memo.update(zip(pieces, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text the ids as little-endian unsigned 32-bit integers."""
-        memo, cut, new = self.memo, [], {}
-        for x in texts:
-            pieces = space_pieces(x)
-            cut.append(pieces)
-            new.update(dict.fromkeys(p for p in pieces if p not in memo))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = dict.fromkeys(p for pieces in cut for p in pieces)
-        for p, e in zip(new, self.lib.encode_batch(list(new), add_special_tokens=False), strict=True):
-            new[p] = np.array(e.ids, "<u4").tobytes()
-        memo.update(new)
-        return [b"".join(map(memo.__getitem__, pieces)) for pieces in cut]
+        out: list[bytes] = []
+        split = [self._cut(x) for x in texts]
+        for k in range(0, len(split), 64):
+            some = split[k : k + 64]
+            new = set().union(*(rest for _, rest, plain in some if plain)).difference(self.memo)
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+                new = set().union(*(rest for _, rest, plain in some if plain))
+            self._learn(list(new))
+            get = self.memo.__getitem__
+            for first, rest, plain in some:
+                if plain:
+                    out.append((self._slow(first) if first else b"") + b"".join(map(get, rest)))
+                else:
+                    out.append(b"".join(map(self._slow, [first, *rest])))
+        return out
+
+    @staticmethod
+    def _cut(text: str) -> tuple[str, list[str], bool]:
+        """The first piece and the others; whether the others are without their space."""
+        if any(x in text for x in RUNS) or text.endswith(" ") or ODD.search(text):
+            first, *rest = space_pieces(text)
+            return first, rest, False
+        first, *rest = text.split(" ")
+        return first, rest, True
+
+
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    """One for each vocabulary file and worker process."""
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -187,7 +245,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, s
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, end = Pieces(vocabulary), np.array([end_id], "<u4").tobytes()
+        pieces, end = pieces_of(vocabulary), np.array([end_id], "<u4").tobytes()
         part, shard, start, own, ids = 0, 0, 0, [], []
 
         def closed() -> pd.DataFrame:
