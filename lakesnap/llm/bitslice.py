@@ -162,12 +162,12 @@ def top_k(vectors: DataFrame, k: int = 10, scale: int = 1024, every: int = 100,
     products with other rows of the same length (all, if fewer), ties to smaller ids.
 
     Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id. A row
-    is no candidate of a query with its id; rows that repeat an id are queries and candidates each, and their results
-    are one list. Index blocks hold ROWS rows, query blocks QUERIES; each index block meets each query block once, and
+    is no candidate of a query with its id. Rows that repeat an id and its vector are one; if an id has several vectors,
+    each is a candidate and the least is the query. Index blocks hold ROWS rows, query blocks QUERIES; each index block meets each query block once, and
     what leaves a pair of blocks is k rows a query."""
-    rows = quantised(vectors, id_col, vector_col, scale)
+    rows = quantised(vectors, id_col, vector_col, scale).dropDuplicates(["id", "v"])
     index, n_index = _packed(rows, ROWS, "index")
-    asked, n_asked = _packed(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]), QUERIES, "queries")
+    asked, n_asked = _packed(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), QUERIES, "queries")
     asked = asked.select(F.col("block").alias("asked"), F.col("dims").alias("q_dims"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
     pairs = index.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
     pairs = pairs.join(asked, (pairs.asked == asked.asked) & (pairs.dims == asked.q_dims)).select("ids", "kind", "values", "dims", "q_ids", "q_kind", "q_values", F.xxhash64("block", pairs.asked).alias("deal"))

@@ -177,10 +177,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     Euclidean distance in double precision, ties to smaller ids (all rows of the same length, if there are fewer).
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids. Rows that
-    repeat an id are one row if their vectors are equal. Every shard's graph is searched for every query."""
+    repeat an id and its vector are one; if an id has several vectors, the least is the query, and the id is reported
+    once, by its nearest. Every shard's graph is searched for every query."""
     rows = usable(vectors, id_col, vector_col)
     graphs, shards = index(rows, k)
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"])
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
     n = asked.count()
     blocks = max(1, -(-n // QUERIES))
 
@@ -214,4 +215,4 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
 
     found = pairs.mapInPandas(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,9 +6,9 @@ common order of (coordinate, value): only those are posted, rare values first, s
 documents are rarely posted at all. Documents meet where they are posted alike; the collisions of those that meet are
 then counted over whole signatures, and links are confirmed on whole sets.
 
-Exact copies of a set are one class throughout. Classes that meet are first compared with the least class of their
-posting list, a number of pairs in proportion to the postings; what that has linked needs no more comparisons, and only
-classes that still lie in different components are compared with each other.
+Exact copies of a set are one class throughout. In each of ROUNDS rounds, the classes of a posting list are compared
+with one of them, a number of pairs in proportion to the postings; classes in one component need no more comparisons.
+At the end, all that still meet in different components are compared with each other, so no link is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +26,11 @@ from lakesnap.llm.components import components
 
 K, LEAST = 48, 24
 #: A (coordinate, value) is heavy if it has over 1 / HEAVY of all postings; there are fewer than HEAVY of those.
-HEAVY = 1 << 16
+HEAVY = 1 << 20
+#: Times that the classes of a list are compared with one of them only, before any two that are still apart are.
+ROUNDS = 3
+#: Classes of a list whose pairs are formed as rows at the end; longer lists are compared in blocks of BLOCK classes.
+FEW, BLOCK = 64, 1024
 MEMO = 400_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,6 +139,37 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
+def _dense(posted: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components in lists of n classes (token, node, component, n). Two blocks of a list at a
+    time, all intersections of their whole sets come from one product of incidence matrices; only links leave."""
+    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
+    rows = posted.join(texts, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "text")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(t, size) for t in pdf.text]
+        n = np.array([len(s) for s in sets])
+        every, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        column = (np.cumsum(often > 1) - 1)[at]
+        row, column = row[often[at] > 1], column[often[at] > 1]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            a, b = np.searchsorted(column, (k, k + 4096))
+            x = np.zeros((len(sets), 4096), np.float32)
+            x[row[a:b], column[a:b] - k] = 1
+            both += x @ x.T
+        c, node = pdf.component.to_numpy(), pdf.node.to_numpy()
+        hit = (100 * both >= percent * (n[:, None] + n[None] - both)) & (c[:, None] != c[None]) & (node[:, None] < node[None])
+        a, b = np.nonzero(hit)
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    return rows.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those that agree in `least` coordinates, and whose set sizes allow the similarity."""
     a = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
@@ -155,36 +190,43 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = own.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     classes = written(classes, "classes")
     posted = written(postings(classes), "postings")
-    lists = posted.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("token", "hub")
-    posted = written(posted.join(lists, "token"), "lists")  # only where two classes meet
-    stars = posted.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(_alike(stars, classes, LEAST, percent), "stars")
-    met = posted.select("node").distinct()
-    met = classes.join(met, "node", "left_semi").select("node", "set")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(met, "node")
-    texts = written(_texts(texts, size), "texts")
-    links = written(_confirmed(stars, texts, size, percent), "links")
-    found = components(links)
-    # what the stars have not linked: classes of one list in different components
-    placed = posted.join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    placed = placed.join(mixed, "token", "left_semi")
-    a, b = (placed.select("token", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-    rest = a.join(b, "token").where("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(_alike(rest, classes, LEAST, percent), texts, size, percent), "links")
-    found = written(components(links.union(more)), "components")
+    posted = posted.withColumn("component", F.col("node"))
+    links = texts = found = tested = None
+    for r in range(ROUNDS + 1):
+        # only lists in which two components meet
+        hub = F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(r)))
+        lists = posted.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), hub.alias("hub")).where("x < y").select("token", "hub")
+        posted = written(posted.join(lists, "token"), "lists")
+        if r == 0:
+            texts = written(_texts(docs, classes.join(posted.select("node").distinct(), "node", "left_semi"), size), "texts")
+        if r < ROUNDS:
+            pairs = posted.where("component <> hub.component").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+        else:
+            many = posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > FEW)
+            a, b = (posted.join(many, "token", "left_anti").select("token", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+            pairs = a.join(b, "token").where("a < b and ca <> cb").select("a", "b").distinct()
+            dense = written(_dense(posted.join(many, "token"), texts, size, percent), "dense")
+            links = links.union(dense)
+        pairs = _alike(pairs, classes, LEAST, percent)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        tested = pairs.union(tested) if tested else pairs
+        new = written(_confirmed(pairs, texts, size, percent), "links")
+        links = links.union(new) if links else new
+        found = written(components(links), "components")
+        posted = posted.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
     of = classes.select("set", F.col("node")).join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
     alone = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     out = rows.select("doc_id", "n_shingles", "set").join(of, "set", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _texts(texts: DataFrame, size: int) -> DataFrame:
-    """node, text of the classes: of texts (node, text, set) the rows with that set, one of each."""
+def _texts(docs: DataFrame, met: DataFrame, size: int) -> DataFrame:
+    """node, text of the classes met (node, set): of the rows of docs with that doc_id one with that set."""
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [xxhash.xxh3_128_digest(shingles(t, size).tobytes()) == bytes(s) for t, s in zip(pdf.text, pdf.set, strict=True)]
             yield pdf.loc[keep, ["node", "text"]]
 
-    return texts.select("node", "text", "set").mapInPandas(own, "node long, text string").dropDuplicates(["node"])
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node", "set"), "node")
+    return rows.select("node", "text", "set").mapInPandas(own, "node long, text string").dropDuplicates(["node"])

@@ -69,6 +69,15 @@ def test_heavy_values_are_posted_last(spark, monkeypatch):
     assert got == brute(rows, 4, 80)
 
 
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", 1)
+    monkeypatch.setattr(minhash, "ROUNDS", 1)
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in minhash.near_duplicates(df, 4).collect())
+    assert got == brute(rows, 4, 80)
+
+
 def test_components_of_a_long_path(spark):
     order = np.random.default_rng(1).permutation(200)
     edges = [(int(a), int(b)) for a, b in zip(order, order[1:], strict=False)] + [(300, 301), (302, 300), (400, 400)]
