@@ -37,6 +37,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakesnap.llm.warc import warc_derivatives
+
+    return warc_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakesnap.llm.toxicity import toxicity
 
@@ -68,7 +74,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_near_duplicates, op4_token_files, op6_toxicity, op7_repeats_removed, op8_mixing, op9_secret_scan, op10_nearest)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_exact_top_k, op3_near_duplicates, op4_token_files, op5_warc_derivatives, op6_toxicity, op7_repeats_removed, op8_mixing, op9_secret_scan, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:

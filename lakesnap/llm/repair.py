@@ -34,13 +34,16 @@ NULL_ID = np.iinfo(np.int64).min
 #: A shard is closed when it has this many ids (documents stay whole).
 SHARD_TOKENS = 1 << 20
 ROUNDS, RULES_A_ROUND, LEAST = 8, 1024, 16
-MEMO = 400_000
+MEMO = 200_000
 
 
 def grammar(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUNDS, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one shard: in each round, the a_round most frequent pairs get a nonterminal each, until no pair
     occurs `least` times or `rounds` are over. -> rules (n x 2), symbols, symbols of each document."""
-    seq = ids.astype(np.uint32)
+    narrow = base + rounds * a_round <= 1 << 16
+    seq = ids.astype(np.uint16 if narrow else np.uint32)
+    wide, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    factor, down = (np.uint32(2654435769), np.uint32(32 - 18)) if narrow else (np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 18))
     ends = np.zeros(len(seq), bool)  # last symbols of documents
     ends[np.cumsum(lengths, dtype=np.int64)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
@@ -48,18 +51,18 @@ def grammar(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUND
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        hashed = seq[:-1] * np.uint32(2654435761)
-        hashed += seq[1:] * np.uint32(2246822519)
-        hashed >>= np.uint32(32 - bits)
-        hashed[ends[:-1]] = 1 << bits  # no pair
-        bucket = hashed.astype(np.intp)
+        every = seq[:-1].astype(wide)
+        every <<= half
+        every |= seq[1:]
+        bucket = ((every * factor) >> down).astype(np.intp)
+        bucket[ends[:-1]] = 1 << bits  # no pair
         counts = np.bincount(bucket, minlength=(1 << bits) + 1)
         counts[-1] = 0
         # the buckets that hold the a_round most frequent pairs, at least
         above = np.cumsum(np.bincount(np.minimum(counts, 1 << 16))[::-1])[::-1]
         often = int(np.searchsorted(-above, -a_round, "right")) - 1
         at = np.flatnonzero((counts >= max(often, least))[bucket])
-        keys = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        keys = every[at]
         pairs, count = np.unique(keys, return_counts=True)
         pairs, count = pairs[count >= least], count[count >= least]
         pairs = np.sort(pairs[np.lexsort((pairs, -count))[:a_round]])
@@ -78,7 +81,7 @@ def grammar(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUND
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, ends = seq[keep], ends[keep]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([pairs >> half, pairs & ((wide(1) << half) - wide(1))], 1).astype(np.uint32))
         n += len(pairs)
     per_doc = np.zeros(len(lengths), np.uint32)
     per_doc[lengths > 0] = np.diff(np.r_[0, np.flatnonzero(ends) + 1])
@@ -180,52 +183,43 @@ class Pieces:
         self.opens = np.zeros(self.base, bool)
         self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
         self.memo: dict[str, bytes] = {}  # by piece, without the space that opens it
+        self.old: dict[str, bytes] = {}
 
     def _slow(self, piece: str) -> bytes:
         return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
-        """pieces have no white space at either end."""
+        """pieces have no white space at either end. The memo keeps what was used since it was last full, and once more."""
         if len(self.memo) + len(pieces) > MEMO:
-            self.memo.clear()
-        odd = [p for p in pieces if any(x in p for x in self.special)]
-        for p in odd:
-            self.memo[p] = self._slow(" " + p)
-        if odd:
-            pieces = [p for p in pieces if p not in self.memo]
-        if pieces:
-            ids = np.array(self.fast.encode_ordinary(" " + " ".join(pieces)), "<u4")
-            cuts = (4 * np.r_[np.flatnonzero(self.opens[ids]), len(ids)]).tolist()
+            self.memo, self.old = {}, self.memo
+        memo, old = self.memo, self.old
+        new = {}
+        for p in pieces:
+            if p in old:
+                memo[p] = old[p]
+            elif any(x in p for x in self.special):
+                memo[p] = self._slow(" " + p)
+            else:
+                new[p] = None
+        if new:
+            ids = self.fast.encode_to_numpy(" " + " ".join(new)).astype("<u4")
+            cuts = (4 * np.flatnonzero(self.opens[ids])).tolist()
             raw = ids.tobytes()
-            self.memo.update(zip(pieces, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text the ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        split = [self._cut(x) for x in texts]
-        for k in range(0, len(split), 64):
-            some = split[k : k + 64]
-            new = set().union(*(rest for _, rest, plain in some if plain)).difference(self.memo)
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set().union(*(rest for _, rest, plain in some if plain))
-            self._learn(list(new))
-            get = self.memo.__getitem__
-            for first, rest, plain in some:
-                if plain:
-                    out.append((self._slow(first) if first else b"") + b"".join(map(get, rest)))
-                else:
-                    out.append(b"".join(map(self._slow, [first, *rest])))
-        return out
-
-    @staticmethod
-    def _cut(text: str) -> tuple[str, list[str], bool]:
-        """The first piece and the others; whether the others are without their space."""
+            memo.update(zip(new, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
         if any(x in text for x in RUNS) or text.endswith(" ") or ODD.search(text):
-            first, *rest = space_pieces(text)
-            return first, rest, False
+            return b"".join(map(self._slow, space_pieces(text)))
+        memo = self.memo
         first, *rest = text.split(" ")
-        return first, rest, True
+        new = [p for p in rest if p not in memo]
+        if new:
+            self._learn(new)
+            if self.memo is not memo:  # it was full
+                memo = self.memo
+                self._learn([p for p in rest if p not in memo])
+        return (self._slow(first) if first else b"") + b"".join(map(self.memo.__getitem__, rest))
 
 
 _pieces: dict[str, Pieces] = {}
@@ -259,15 +253,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, s
         held = 0
         for pdf in batches:
             part = int(pdf.part.iloc[0]) if len(pdf) else part
-            for k in range(0, len(pdf), 256):
-                some = pdf.iloc[k : k + 256]
-                for doc, x in zip(some.doc_id, pieces.encode([x or "" for x in some.text]), strict=True):
-                    own.append(NULL_ID if doc is None or doc != doc else int(doc))
-                    ids.append(x + end)
-                    held += len(x) // 4 + 1
-                    if held >= shard_tokens:
-                        yield closed()
-                        held = 0
+            for doc, text in zip(pdf.doc_id.tolist(), pdf.text, strict=True):
+                x = pieces.encode(text or "")
+                own.append(doc)
+                ids.append(x + end)
+                held += len(x) // 4 + 1
+                if held >= shard_tokens:
+                    yield closed()
+                    held = 0
         if own:
             yield closed()
 
