@@ -75,7 +75,7 @@ def restore(catalog: Catalog, root: str, name: str, db: str, table: str, locatio
     for r in manifests.select("manifest_path").distinct().collect():
         path = f"{location}/{r.manifest_path}"
         entries.where(F.col("manifest_path") == r.manifest_path).drop("manifest_path").to(entry).write.mode("overwrite").parquet(path)
-        made[r.manifest_path] = sum(x.s for x in spark.read.schema(ENTRY).parquet(path).select("status", F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).groupBy("p", "s").count().collect())
+        made[r.manifest_path] = store.size(path)
     lengths = spark.createDataFrame(list(made.items()), "manifest_path string, __length bigint")
     manifests = manifests.join(F.broadcast(lengths), "manifest_path").withColumn("manifest_length", F.col("__length")).withColumn("manifest_path", restore_path(F.col("manifest_path"), location))
     lists = {}

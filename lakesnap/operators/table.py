@@ -258,9 +258,9 @@ class Table:
             path = f"{location}/metadata/{uuid.uuid4().hex}-m{content}"
             rows.select("status", F.lit(new_id).alias("snapshot_id"), "data_file").to(T.StructType.fromDDL(ENTRY)).write.parquet(path)
             back = self.spark.read.schema(ENTRY).parquet(path)
-            n = back.select("snapshot_id", F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).groupBy("p", "s").count().collect()
+            n = back.count()
             if n:
-                lists.append(self.spark.createDataFrame([(path, sum(r.s for r in n), content, new_id, sum(r["count"] for r in n))], MANIFEST_LIST))
+                lists.append(self.spark.createDataFrame([(path, self.store.size(path), content, new_id, n)], MANIFEST_LIST))
         list_path = f"{location}/metadata/snap-{new_id}-{uuid.uuid4().hex}"
         every = lists[0] if lists else self.spark.createDataFrame([], MANIFEST_LIST)
         for x in lists[1:]:

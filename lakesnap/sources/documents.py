@@ -87,6 +87,11 @@ class Store:
         fs, p = self._at(path)
         return fs.delete(p, True)
 
+    def size(self, path: str) -> int:
+        """Bytes of a file, or of all files in a folder."""
+        fs, p = self._at(path)
+        return fs.getContentSummary(p).getLength()
+
     def names(self, path: str) -> list[str]:
         """Names in a folder; none if there is no folder."""
         fs, p = self._at(path)
