@@ -32,6 +32,14 @@ def written(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table whose files are dealt by key: joins on key read it without a shuffle, however often."""
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    own = f"lakesnap_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.option("compression", "zstd").option("path", scratch(spark, name)).bucketBy(n, key).sortBy(key).saveAsTable(own)
+    return spark.table(own)
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table of written() that no later step reads."""
     for name in df.inputFiles()[:1]:

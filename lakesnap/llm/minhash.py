@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesnap.llm.common import written
+from lakesnap.llm.common import bucketed, remove, written
 from lakesnap.llm.components import components
 
 K, LEAST = 48, 24
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = written(signed(docs, size), "signed")
     own = rows.where("n_shingles > 0 and doc_id is not null")
     classes = own.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
-    classes = written(classes, "classes")
+    classes = bucketed(classes, "node", "classes")
     posted = written(postings(classes), "postings")
     posted = posted.withColumn("component", F.col("node"))
     links = texts = found = tested = None
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         lists = posted.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), hub.alias("hub")).where("x < y").select("token", "hub")
         posted = written(posted.join(lists, "token"), "lists")
         if r == 0:
-            texts = written(_texts(docs, classes.join(posted.select("node").distinct(), "node", "left_semi"), size), "texts")
+            texts = bucketed(_texts(docs, classes.join(posted.select("node").distinct(), "node", "left_semi"), size), "node", "texts")
         if r < ROUNDS:
             pairs = posted.where("component <> hub.component").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
         else:
@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         links = links.union(new) if links else new
         found = written(components(links), "components")
         posted = posted.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    remove(docs.sparkSession, texts)
     of = classes.select("set", F.col("node")).join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
     alone = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     out = rows.select("doc_id", "n_shingles", "set").join(of, "set", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
