@@ -64,6 +64,12 @@ class Catalog:
             raise Conflict(f"{db}.{table} has changed")
         self.store.write_json(self._pointer(db, table), {"location": location, "metadata_location": after}, overwrite=True)
 
+    def sql(self, text: str, **tables: str) -> DataFrame:
+        """Any SQL; {name} in it stands for a table given as name="db.table". Errors are raised, results never collected."""
+        from lakesnap.operators.table import Table
+
+        return self.spark.sql(text, **{k: Table(self, *v.split(".", 1)).scan() for k, v in tables.items()})
+
     def drop_table(self, db: str, table: str, purge: bool = False) -> bool:
         """False if there is none."""
         if not self.exists(db, table):

@@ -74,6 +74,13 @@ def test_merge(people, spark):
         people.merge(spark.createDataFrame([(1, "x"), (1, "y")], "id int, name string"), ["id"])
 
 
+def test_sql(people):
+    got = people.catalog.sql("SELECT count(*) AS n, max(value) AS v FROM {p} WHERE id > 1", p="default.people").first()
+    assert (got.n, got.v) == (4, 500.99)
+    with pytest.raises(Exception, match="PARSE"):
+        people.catalog.sql("SELEC 1")
+
+
 def test_a_lost_race_is_a_conflict(people):
     before = people.catalog.pointer("default", "people")["metadata_location"]
     people.insert([(7, "x", 1.0)])
