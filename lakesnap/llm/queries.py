@@ -103,6 +103,22 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_id AS component_id,
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS least_id FROM reach GROUP BY x) USING (doc_id)"""
 
 
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT doc_id, doc_id::HUGEINT * 4294967296 + i AS place, i, md5_number(substr(h, 2 * i + 1, 200)) AS k
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM w JOIN (SELECT k, min(place) AS first FROM w GROUP BY k HAVING count(*) > 1) USING (k) WHERE place > first),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM later),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM marked),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, n),
+ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d),
+between_spans AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b NULLS LAST), 0) AS s FROM ends)
+SELECT d.doc_id, length(any_value(h)) // 2 AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(b) AS n_spans,
+  sha256(unhex(coalesce(string_agg(substr(h, 2 * s + 1, 2 * (a - s)), '' ORDER BY a, b NULLS LAST), ''))) AS kept_sha256
+FROM d JOIN between_spans USING (doc_id) GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries are held against brute force, round trips or held-out labels in tests/llm."""
-    return {"op2_exact_top_k": TOP_K_SQL, "op3_near_duplicates": NEAR_DUPLICATES_SQL}
+    return {"op2_exact_top_k": TOP_K_SQL, "op3_near_duplicates": NEAR_DUPLICATES_SQL, "op7_repeats_removed": REPEATS_SQL}
