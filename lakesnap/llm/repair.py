@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesnap.llm.bpe import BYTE_PATTERN, ODD, RUNS, byte_symbols, space_pieces
+from lakesnap.llm.bpe import BYTE_PATTERN, byte_symbols
 from lakesnap.llm.common import partitions, scratch
 
 MAGIC = 0x52504731
@@ -34,7 +34,6 @@ NULL_ID = np.iinfo(np.int64).min
 #: A shard is closed when it has this many ids (documents stay whole).
 SHARD_TOKENS = 1 << 20
 ROUNDS, RULES_A_ROUND, LEAST = 8, 1024, 16
-MEMO = 200_000
 
 
 def grammar(ids: np.ndarray, lengths: np.ndarray, base: int, rounds: int = ROUNDS, a_round: int = RULES_A_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,12 +159,9 @@ class Shard:
         return self._expand(self.symbols[a:b])[start - before : stop - before]
 
 
-class Pieces:
-    """Ids of texts as the tokenizers library gives them. Texts are cut before the last space of each run of white
-    space, which no pre-token crosses. Each distinct piece is encoded once (a bounded memo keeps its ids), many at a
-    time: behind the cut a piece opens with its only space, so the ids of a run of pieces come apart at the tokens that
-    open with a space. The merges run in tiktoken, built from the same vocabulary; a piece that holds a special token
-    goes to the library itself."""
+class Vocabulary:
+    """Ids of whole texts as the tokenizers library gives them. The merges run in tiktoken, built from the same
+    vocabulary (a byte-level vocabulary's ids are its ranks); texts that hold a special token go to the library."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -175,61 +171,26 @@ class Pieces:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.base = self.lib.get_vocab_size(with_added_tokens=True)
-        special = {x.content for x in self.lib.get_added_tokens_decoder().values()}
-        self.special = tuple(special)
+        self.special = tuple(x.content for x in self.lib.get_added_tokens_decoder().values())
         of = {c: b for b, c in enumerate(byte_symbols())}
-        ranks = {bytes(of[c] for c in t): i for t, i in self.lib.get_vocab().items() if t not in special}
+        ranks = {bytes(of[c] for c in t): i for t, i in self.lib.get_vocab().items() if t not in self.special}
         self.fast = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.opens = np.zeros(self.base, bool)
-        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
-        self.memo: dict[str, bytes] = {}  # by piece, without the space that opens it
-        self.old: dict[str, bytes] = {}
-
-    def _slow(self, piece: str) -> bytes:
-        return np.array(self.lib.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """pieces have no white space at either end. The memo keeps what was used since it was last full, and once more."""
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo, self.old = {}, self.memo
-        memo, old = self.memo, self.old
-        new = {}
-        for p in pieces:
-            if p in old:
-                memo[p] = old[p]
-            elif any(x in p for x in self.special):
-                memo[p] = self._slow(" " + p)
-            else:
-                new[p] = None
-        if new:
-            ids = self.fast.encode_to_numpy(" " + " ".join(new)).astype("<u4")
-            cuts = (4 * np.flatnonzero(self.opens[ids])).tolist()
-            raw = ids.tobytes()
-            memo.update(zip(new, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
-        if any(x in text for x in RUNS) or text.endswith(" ") or ODD.search(text):
-            return b"".join(map(self._slow, space_pieces(text)))
-        memo = self.memo
-        first, *rest = text.split(" ")
-        new = [p for p in rest if p not in memo]
-        if new:
-            self._learn(new)
-            if self.memo is not memo:  # it was full
-                memo = self.memo
-                self._learn([p for p in rest if p not in memo])
-        return (self._slow(first) if first else b"") + b"".join(map(self.memo.__getitem__, rest))
+        if any(x in text for x in self.special):
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
 
-_pieces: dict[str, Pieces] = {}
+_vocabularies: dict[str, Vocabulary] = {}
 
 
-def pieces_of(path: str) -> Pieces:
+def vocabulary_of(path: str) -> Vocabulary:
     """One for each vocabulary file and worker process."""
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -239,13 +200,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, s
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, end = pieces_of(vocabulary), np.array([end_id], "<u4").tobytes()
+        words, end = vocabulary_of(vocabulary), np.array([end_id], "<u4").tobytes()
         part, shard, start, own, ids = 0, 0, 0, [], []
 
         def closed() -> pd.DataFrame:
             nonlocal shard, start, own, ids
             lengths = np.array([len(x) // 4 for x in ids], np.uint32)
-            payload = pack(np.array(own, np.int64), np.frombuffer(b"".join(ids), "<u4"), lengths, pieces.base)
+            payload = pack(np.array(own, np.int64), np.frombuffer(b"".join(ids), "<u4"), lengths, words.base)
             out = pd.DataFrame({"part": [part], "shard": [shard], "start": [start], "n_docs": [len(own)], "n_tokens": [int(lengths.sum())], "payload": [payload]})
             shard, start, own, ids = shard + 1, start + int(lengths.sum()), [], []
             return out
@@ -254,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, s
         for pdf in batches:
             part = int(pdf.part.iloc[0]) if len(pdf) else part
             for doc, text in zip(pdf.doc_id.tolist(), pdf.text, strict=True):
-                x = pieces.encode(text or "")
+                x = words.encode(text or "")
                 own.append(doc)
                 ids.append(x + end)
                 held += len(x) // 4 + 1
