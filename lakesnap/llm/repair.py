@@ -18,6 +18,7 @@ found from the expansion lengths without decoding what lies before it.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -102,6 +103,11 @@ def pack(doc_ids: np.ndarray, ids: np.ndarray, lengths: np.ndarray, base: int) -
     return b"".join(x.tobytes() for x in parts)
 
 
+@functools.cache
+def _terminals(base: int) -> list[bytes]:
+    return [i.to_bytes(4, "little") for i in range(base)]
+
+
 class Shard:
     """A payload, opened; nothing is decoded before it is asked for."""
 
@@ -128,12 +134,10 @@ class Shard:
         if self._flat is None:
             size = np.r_[np.ones(self.base, np.int64), self.size]
             where = np.r_[0, np.cumsum(size)]
-            flat = np.empty(where[-1], np.uint32)
-            flat[: self.base] = np.arange(self.base)
-            for k, (a, b) in enumerate(self.rules.tolist()):
-                s = where[self.base + k]
-                flat[s : s + size[a]] = flat[where[a] : where[a + 1]]
-                flat[s + size[a] : s + size[a] + size[b]] = flat[where[b] : where[b + 1]]
+            terms = list(_terminals(self.base))
+            for a, b in self.rules.tolist():
+                terms.append(terms[a] + terms[b])
+            flat = np.frombuffer(b"".join(terms), "<u4")
             self._flat = flat, where[:-1], size
         return self._flat
 
