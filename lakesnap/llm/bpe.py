@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 END = "\0"  # stands for the end-of-word suffix, attached to the last symbol
 #: Entries of a memo before it is emptied; a memo only saves time.
 MEMO = 500_000
+#: Entries of the memo of token pairs.
+PAIRS = 200_000
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
@@ -91,7 +93,7 @@ class Transducer:
         while both exist, whose merge comes before those that build on them. Equal ranks go to the left one."""
         hit = self._holds.get((u, v))
         if hit is None:
-            if len(self._holds) >= MEMO:
+            if len(self._holds) >= PAIRS:
                 self._holds.clear()
             hit = self._holds[u, v] = not any(
                 (m := self.rank.get((x, y), -1)) >= 0 and m < until_x and m <= until_y

@@ -31,7 +31,7 @@ HEAVY = 1 << 20
 ROUNDS = 3
 #: Classes of a list whose pairs are formed as rows at the end; longer lists are compared in blocks of BLOCK classes.
 FEW, BLOCK = 64, 1024
-MEMO = 400_000
+MEMO = 250_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 

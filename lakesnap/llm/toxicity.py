@@ -27,7 +27,7 @@ TRAIN_ROWS = 20_000
 TERMS, LEAST, STEMS = 400, 5, (3, 4, 5, 6, 7)
 FUZZY_FROM = 5  # letters from which a word may have an edit
 WINDOW = 12  # words on either side of a hit
-MEMO = 400_000
+MEMO = 150_000
 #: Verbs and nouns that report someone else's words, in four languages.
 REPORTING = frozenset("said says called calls wrote quote quoted quoting reported reports cited term word words insult insults sagte nannte zitat wort dit appelé citation mot dijo llamó cita palabra".split())
 FEATURES = ("exact", "fuzzy", "stem", "weight", "company", "quoted", "density", "kinds")
@@ -227,7 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     count[toxic].update({w[:n] + "*" for w in ws for n in STEMS if len(w) >= n})
                     count[toxic]["\0"] += 1
             keys = [*count[0].keys() | count[1].keys()]
-            yield pd.DataFrame({"term": keys, "pos": [count[1][k] for k in keys], "neg": [count[0][k] for k in keys]})
+            for at in range(0, len(keys), 50_000):  # nothing at all for an empty part
+                some = keys[at : at + 50_000]
+                yield pd.DataFrame({"term": some, "pos": [count[1][k] for k in some], "neg": [count[0][k] for k in some]})
 
         counted = texts.mapInPandas(terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         counts = counted.where((F.col("term") == "\0") | ((F.col("pos") >= LEAST) & (F.col("pos") > F.col("neg") / 2))).toPandas()
