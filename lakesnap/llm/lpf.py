@@ -261,7 +261,8 @@ def removed(docs: DataFrame, span: int = 100) -> DataFrame:
             for doc, text, own in zip(pdf.doc_id, pdf.text, pdf.runs, strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 out += [(r["k"], r["hot"], doc, r["p0"], data[r["p0"] : r["p1"] + span - 1]) for r in own if r["p1"] + span - 1 <= len(data)]
-            yield pd.DataFrame(out, columns=["k", "hot", "doc_id", "p0", "bytes"])
+            if out:
+                yield pd.DataFrame(out, columns=["k", "hot", "doc_id", "p0", "bytes"])
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, "doc_id")
     bodies = written(texts.mapInPandas(cut, "k long, hot boolean, doc_id long, p0 long, bytes binary"), "bodies")

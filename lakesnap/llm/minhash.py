@@ -227,7 +227,8 @@ def _texts(docs: DataFrame, met: DataFrame, size: int) -> DataFrame:
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [xxhash.xxh3_128_digest(shingles(t, size).tobytes()) == bytes(s) for t, s in zip(pdf.text, pdf.set, strict=True)]
-            yield pdf.loc[keep, ["node", "text"]]
+            if any(keep):
+                yield pdf.loc[keep, ["node", "text"]]
 
     rows = docs.select(F.col("doc_id").alias("node"), "text").join(met.select("node", "set"), "node")
     return rows.select("node", "text", "set").mapInPandas(own, "node long, text string").dropDuplicates(["node"])

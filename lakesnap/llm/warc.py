@@ -124,7 +124,8 @@ def derive(responses: DataFrame) -> DataFrame:
                         payload = headers.get("warc-payload-digest") or digest(block.partition(b"\r\n\r\n")[2])
                         out.append((page, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h["WARC-Target-URI"], h["WARC-Date"], h["Content-Type"], len(body), h["WARC-Block-Digest"], payload, record(own, body)))
             found = pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
-            yield found.assign(page_id=found.page_id.astype("Int64"))
+            if out:
+                yield found.assign(page_id=found.page_id.astype("Int64"))
 
     return responses.select("page_id", "record").mapInPandas(rows, RECORD)
 
