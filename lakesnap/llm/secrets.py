@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and strings that compress badly after a dictionary and the code around them.
 
-A string that a reader could guess from its surroundings (an identifier, a path, a repeated literal) adds few bytes to
-the compressed text before it; a random key adds nearly as many as it has. So each long token near a sensitive word is
-scored by the bytes it adds to a zstandard frame primed with identifiers, over its length.
+A string that a reader could guess from its surroundings (an identifier, a path) adds few bytes to the compressed text
+before it; a random key adds nearly as many as it has. So each long token near a sensitive word is scored by the bytes
+it adds to a zstandard frame primed with identifiers, over its length. Its own repetitions don't count as surroundings,
+and a token that is reported is reported wherever it stands.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 or more; a shorter run holds no longer match
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "novel")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20  # characters of a candidate
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Words that make what follows them sensitive.
 SENSITIVE = ("passw", "secret", "token", "api_key", "apikey", "credential", "private_key", "access_key", "auth", "bearer", "pwd")
 SENSITIVE_BEFORE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
@@ -65,23 +67,52 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def overlaps(a: int, b: int, found: list[tuple[int, int, int]]) -> bool:
+    return any(s < b and a < e for s, _, e in found)
+
+
+def beside(text: str, x: str, a: int, b: int) -> str:
+    """AROUND characters before a and after b, counted without the occurrences of x, which are taken out."""
+    out = []
+    for before in (True, False):
+        n = AROUND + len(x)  # an occurrence that the outer end of the piece cuts lies in what is cut off again
+        while True:
+            piece = (text[max(0, a - n) : a] if before else text[b : b + n]).replace(x, "")
+            if len(piece) >= AROUND + len(x) or n >= (a if before else len(text) - b):
+                break
+            n *= 2
+        out.append(piece[-AROUND:] if before else piece[:AROUND])
+    return "".join(out)
+
+
 def novel_spans(text: str, low: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates outside base spans, near a sensitive word, that mix letters and digits and add BITS a character."""
+    """Candidates outside base spans that mix letters and digits and, at some place near a sensitive word, add BITS a
+    character to what stands around them without themselves: each place of theirs, also within longer candidates."""
     global _novelty
     if not any(x in low for x in SENSITIVE):
         return []
     _novelty = _novelty or Novelty()
-    found = []
+    places: dict[str, list[int]] = {}
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        x = m[0]
-        if not (any(c.isdigit() for c in x) and any(c.isalpha() for c in x)) or any(s < b and a < e for s, _, e in base):
-            continue
-        if SENSITIVE_BEFORE.search(text, max(0, a - NEAR), a):
-            around = text[max(0, a - AROUND) : a] + text[b : b + AROUND]
-            if x not in around and _novelty.bits(around, x) >= BITS:
-                found.append((a, 3, b))
-    return found
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            places.setdefault(m[0], []).append(m.start())
+    novel: dict[str, list[str]] = {}  # by their first LEAST characters
+    for x, starts in places.items():
+        seen = set()
+        for a in starts:
+            b = a + len(x)
+            if overlaps(a, b, base) or not SENSITIVE_BEFORE.search(text, max(0, a - NEAR), a):
+                continue
+            around = beside(text, x, a, b)
+            if around not in seen and _novelty.bits(around, x) >= BITS:
+                novel.setdefault(x[:LEAST], []).append(x)
+                break
+            seen.add(around)
+    found = set()
+    for y, starts in places.items() if novel else ():
+        inner = [(k, k + len(x)) for k in range(len(y) - LEAST + 1) for x in novel.get(y[k : k + LEAST], ()) if y.startswith(x, k)]
+        found |= {(a + s, 3, a + e) for a in starts for s, e in inner if not overlaps(a + s, a + e, base)}
+    return sorted(found)
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

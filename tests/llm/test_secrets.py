@@ -58,6 +58,18 @@ def test_novel_strings_near_sensitive_words():
     assert n.bits("def f(): return", key) > 5 > 3 > n.bits("configuration parameter", "configuration_parameter_configuration")
 
 
+def test_repeated_keys_are_reported_at_each_place():
+    key = "q7Zt9LmX2vKp8RwYb4NcD6fGh1Js"
+    line = f"bearer {key}\n"
+    for t in (f"bearer {key} ... bearer {key}", f"bearer {key} " + "plain words " * 70 + f"bearer {key}", line * 500, f"bearer {key} and {key}Tail9", f'password = "{key}" and bearer {key}'):
+        assert key in t and key not in secrets.redacted(t), t
+    assert secrets.spans(f"bearer {key}, {key}")[1] == [(7, 3, 35), (37, 3, 65)]
+    for far in range(1024 - 60, 1024 + 60):  # the text around ends within a repetition
+        t = f"bearer {key} " + " " * far + f" bearer {key}"
+        assert len(secrets.spans(t)[1]) == 2
+    assert secrets.beside("abXcdXef", "X", 5, 6) == "abcdef"
+
+
 def test_rows_and_redaction(spark):
     t = "x password = hunter2hunter2 y deadbeefdeadbeef00"
     rows = [(1, t, 1), (1, t, 1), (2, None, 1), (3, "", 1), (None, "é" + t, 1), (4, "word " * 200_000 + t, 1)]
