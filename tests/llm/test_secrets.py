@@ -70,6 +70,42 @@ def test_repeated_keys_are_reported_at_each_place():
     assert secrets.beside("abXcdXef", "X", 5, 6) == "abcdef"
 
 
+def random_key(n, seed):
+    return "".join(random.Random(seed).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n - 2)) + "x7"
+
+
+def test_whole_statements_and_blocks_are_sensitive():
+    key, far = "q7Zt9LmX2vKp8RwYb4NcD6fGh1Js", "some plain words that stand between here and there, and then some more"
+    body = [random_key(64, k) for k in range(6)] + ["q9Tz+w=="]
+    pem = lambda end, kind="": f"-----BEGIN {kind}PRIVATE KEY-----{end}" + end.join(body)
+    jwt = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiI4NDkyMDE3NyIsIm5hbWUiOiJKYW5lIFJvZSJ9", "e30", random_key(43, 9)]
+    for t in (
+        f"token {far} {key}", f"{key} {far} is the bearer", f"api key, {far}: {key}", f"private-key {far} {key}", f"Access Key {far} {key}", f"pass-word {far} {key}",
+        f'"auth": {{\n"user": "{far}",\n"id": "{key}"\n}}', f'{{\n"id": "{key}",\n"of": {{"x": 1}},\n"n": "{far}",\n"kind": "secret"\n}}', f'"auth":\n{{\n"n": "{far} }}",\n"id": "{key}"\n}}',
+        f'"auth": {{"user": "{far}",\n"id": "{key}"', f"auth:\n  user: {far}\n\n  id: {key}", f"[auth]\nuser is {far}\n\nid is {key}\n[other]\n", f"login(token,\n'{far}',\n'{key}')", f"secret {far} \\\n{key}",
+    ):
+        assert secrets.redacted(t) == t.replace(key, "<secret>"), t
+    for t, parts in ((f"Authorization: Bearer {'.'.join(jwt)}\nx", jwt), (f"bearer {far} ab12Cd34eF56.Gh78iJ90kL.mN12oP34qR", ["ab12Cd34eF56.Gh78iJ90kL.mN12oP34qR"])):
+        assert not any(x in secrets.redacted(t) for x in parts), t
+    for t in (pem("\n") + "\n-----END PRIVATE KEY-----\nend", pem("\n", "RSA ") + "\n", f'x = "{pem(chr(92) + "n")}{chr(92)}n-----END PRIVATE KEY-----{chr(92)}n"', pem("\r\n") + "\r\n-----END PRIVATE KEY-----"):
+        assert not any(x in secrets.redacted(t) for x in body), t
+    for t in (f"bearer {far}\nthe word {key}", f"f(auth)\ng({{'far': '{far}', 'x': '{key}'}})", f"[auth]\n[other]\n{far}\nid is {key}", f"auth {{}} {far}\n{key[:8]} {far} {key}"):
+        assert secrets.redacted(t) == t, t
+
+
+def test_ranges_of_long_texts():
+    rnd = random.Random(3)
+    parts = ["token ", "x ", "{", "}", "[", "]", "(", ")", "\n", "\r\n", "  ", "- ", "-----BEGIN X-----", "-----END X-----", "[s]", ":", ",", "word", "q7Zt9LmX2vKp8RwYb4NcD6fGh1Js", "."]
+    for _ in range(3000):
+        t = "".join(rnd.choices(parts, k=rnd.randint(0, 30)))
+        got = secrets.sensitive_ranges(t)
+        assert all(a < b for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False)), t
+        assert all(any(a <= m.start() and m.end() <= b for a, b in got) for m in secrets.SENSITIVE.finditer(t)), t
+        assert all("token" in t[a:b] for a, b in got)
+    for t in ("{" * 300_000, "{[(" * 50_000 + "}" * 50_000, "-----BEGIN " * 30_000, "a.b" * 100_000 + " token", "(}" * 100_000 + "token\n" * 50_000):
+        secrets.spans("token q7Zt9LmX2vKp8RwYb4NcD6fGh1Js " + t)
+
+
 def test_rows_and_redaction(spark):
     t = "x password = hunter2hunter2 y deadbeefdeadbeef00"
     rows = [(1, t, 1), (1, t, 1), (2, None, 1), (3, "", 1), (None, "é" + t, 1), (4, "word " * 200_000 + t, 1)]
