@@ -14,6 +14,7 @@ import hashlib
 import html as entities
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1\r\n"
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+HIDDEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|(?P<title><title\b[^>]*>(?:(?:(?!</head\b|<body\b|<title\b).)*?</title\s*>|[^<]*))"  # one without an end ends at the next tag
+    r"|<(?:meta|link|base)\b(?:=\s*\"[^\"<]*\"|=\s*'[^'<]*'|[^>])*?>",  # values may hold >
+    re.S | re.I,
+)
+PICTURE = re.compile(r"<(/?)svg\b", re.I)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
 TAG = re.compile(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>")
@@ -29,8 +36,17 @@ SPACES, LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
 
 
 def page_text(page: str) -> str:
-    """Visible text: a line for each block element, entities resolved, white space collapsed."""
-    shown = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page).replace("\n", " ")))
+    """Visible text: a line for each block element, entities resolved, white space collapsed. Of a head, whose end tag
+    may be left out, what is never shown is taken out; anything else in it is text of the page."""
+
+    pictures = list(PICTURE.finditer(page))
+    starts = [m.start() for m in pictures]
+
+    def cut(m: re.Match) -> str:
+        k = bisect_left(starts, m.start()) - 1
+        return m[0] if m["title"] and k >= 0 and not pictures[k][1] else " "  # the label of a picture stays
+
+    shown = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(cut, page).replace("\n", " ")))
     return LINES.sub("\n", SPACES.sub(" ", entities.unescape(shown))).strip()
 
 

@@ -62,6 +62,23 @@ def test_records(spark):
     assert warc.warc_derivatives(df.limit(0)).count() == 0
 
 
+def test_heads_without_an_end_hide_no_text():
+    for page, want in (
+        ("<html><head><title>T</title><body><p>Real text", "Real text"),
+        ("<head><meta charset=utf-8><style>p{}</style><title>T</title><p>Real <b>text</b>", "Real text"),
+        ("<HEAD lang=en><TITLE>T</TITLE>\n<meta name=d content='Home > T'><link href=\"a>b\"><script>var x='<body>';</script><BODY>Real text", "Real text"),
+        ("<head><title>T<meta charset=utf-8><body>Real text", "Real text"),
+        ("<head><title>T<body>Real text <svg><title>icon</title></svg>", "Real text icon"),
+        ("<head><title>Of <b> and <p></title></head><body>Real text", "Real text"),
+        ("<head><base href='x'><title>A</title><div>one</div><html><head><title>B</title></head><body>two", "one\ntwo"),
+        ("<html><title>T</title>Real text", "Real text"),
+        ("<head><meta content=\"open><p>Real text <a class=\"b\">c</a>", "Real text c"),
+    ):
+        assert warc.page_text(page) == want, page
+    for n in (1000, 100_000):
+        assert warc.page_text("<head><title>T" * n + "<body>Real text") == "Real text"
+
+
 def test_files_are_read_back(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string, record int")
     members = [bytes(r.member) for r in warc.gzipped(warc.responses(df)).collect()]
