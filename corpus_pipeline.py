@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakesnap.llm.bpe import round_trip_column
 from lakesnap.llm.common import table, written
 from lakesnap.llm.minhash import near_duplicates
-from lakesnap.llm.mixing import mix
+from lakesnap.llm.mixing import mix, shuffled
 from lakesnap.llm.queries import vocabulary
 from lakesnap.llm.secrets import redact_column
 from lakesnap.llm.toxicity import score_column, train
@@ -36,8 +36,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mix(docs).select(*docs.columns)
+    """Each document as often as the mix takes it, shard by shard, shuffled within each."""
+    return shuffled(mix(docs)).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,11 +156,18 @@ def mixed(docs: DataFrame, seed: int = 1, shards: int = 64, share: float = 1.5,
     return both.select("__row.*", F.struct("size", "source_size", "target", "copies", to.alias("shards")).alias("__take"))
 
 
+def place(seed: int, shard, copy, doc_id, text) -> F.Column:
+    """Where a copy stands in its shard: shards are in ascending order of it, which is a random one."""
+    return F.xxhash64(F.lit(seed), shard, copy, doc_id, text)
+
+
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken and shards for each row of docs."""
+    """doc_id, size, source_size, target, taken, shards and places (of each copy) for each row of docs."""
+    seed = options.get("seed", 1)
     found = mixed(docs.select("doc_id", "text", "source"), **options)
     t = F.col("__take")
-    return found.select("doc_id", t.size.alias("size"), t.source_size.alias("source_size"), t.target.alias("target"), (t.size * t.copies).alias("taken"), t.shards.alias("shards"))
+    places = F.transform(t.shards, lambda shard, copy: place(seed, shard, copy, found["doc_id"], found["text"]))
+    return found.select("doc_id", t.size.alias("size"), t.source_size.alias("source_size"), t.target.alias("target"), (t.size * t.copies).alias("taken"), t.shards.alias("shards"), places.alias("places"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -168,11 +175,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     seed = options.get("seed", 1)
     found = mixed(docs, **options)
     out = found.select(*(found[c] for c in docs.columns), F.posexplode("__take.shards").alias("__copy", "__shard"))
-    return out.withColumn("__place", F.xxhash64(F.lit(seed), F.col("__shard"), F.col("__copy"), out["doc_id"], out["text"]))
+    return out.withColumn("__place", place(seed, F.col("__shard"), F.col("__copy"), out["doc_id"], out["text"]))
+
+
+def shuffled(found: DataFrame, n: int | None = None) -> DataFrame:
+    """What mix() gives, dealt by shard over n partitions (those of the session), each shard in the order of its places."""
+    dealt = found.repartition(n, "__shard") if n else found.repartition("__shard")
+    return dealt.sortWithinPartitions("__shard", "__place")
 
 
 def write_mix(docs: DataFrame, path: str, **options) -> None:
     """The mix as Parquet, a folder for each shard, shuffled within it."""
-    found = mix(docs, **options)
-    n = options.get("shards", 64)
-    found.repartition(n, "__shard").sortWithinPartitions("__shard", "__place").drop("__place", "__copy").write.partitionBy("__shard").parquet(path)
+    shuffled(mix(docs, **options), options.get("shards", 64)).drop("__place", "__copy").write.partitionBy("__shard").parquet(path)

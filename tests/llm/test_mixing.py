@@ -65,3 +65,28 @@ def test_shards_on_disk_and_empty_tables(spark, tmp_path):
     assert mixing.mix_report(df.limit(0)).count() == 0
     mixing.write_mix(df, str(tmp_path / "mix"), shards=4)
     assert spark.read.parquet(str(tmp_path / "mix")).count() == mixing.mix(df, shards=4).count()
+
+
+def test_shards_are_in_the_order_of_their_places(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame(rows(), "doc_id long, text string, source string, size int").repartition(3)
+    report = mixing.mix_report(df).select("doc_id", "shards", "places").collect()
+    at = [(s, p, r.doc_id) for r in report for s, p in zip(r.shards, r.places, strict=True)]
+    mixed = mixing.mix(df).select("__shard", "__place", "doc_id").collect()
+    assert sorted(at, key=repr) == sorted(map(tuple, mixed), key=repr)
+    assert len({p for _, p, _ in at}) > 0.9 * len(at)
+    order = lambda x: (x[0], x[1])
+    got = corpus_pipeline.mixing(spark, df, "").rdd.glom().map(lambda part: [r.doc_id for r in part]).collect()
+    assert sum(map(len, got)) == len(at)
+    shards_of = {}
+    for s, _, d in at:
+        shards_of.setdefault(d, set()).add(s)
+    want = {}
+    for s, p, d in sorted(at, key=order):
+        want.setdefault(s, []).append(d)
+    for part in got:  # whole shards, one after the other
+        while part:
+            s = next(s for s in sorted(want) if s in shards_of[part[0]] and part[: len(want[s])] == want[s])
+            part = part[len(want.pop(s)) :]
+    assert not want
