@@ -8,7 +8,10 @@ A merge list defines one token sequence for each symbol string. Two facts make t
 
 The transducer keeps the last token of each live prefix. A token still to come starts within the last
 ``max_len`` symbols, so whatever all live prefixes' chains have in common can no longer change: it is emitted, and its
-memory is freed. How far that lags behind is bounded by the merge list alone (`sufficient_lookahead`).
+memory is freed. How far that lags behind is bounded by the merge list alone (`sufficient_lookahead`): what lies that
+far back is emitted at once, so memory is constant in the text.
+
+Normalisation and pre-tokenisation are the library's own; the merges, and the decoding, are done here.
 """
 
 from __future__ import annotations
@@ -18,20 +21,21 @@ import hashlib
 import json
 import re
 import sys
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesnap.llm.common import Cache, Memo, claim, small_batches
+
+#: Ids that are decoded, and about the ids that are held, at a time.
+STEP = 1 << 16
 END = "\0"  # stands for the end-of-word suffix, attached to the last symbol
-#: Entries of a memo before it is emptied; a memo only saves time.
-MEMO = 500_000
-#: Entries of the memo of token pairs.
-PAIRS = 200_000
+#: Bytes of the memos of pieces, of words and of token pairs, which only save time; characters of what enters them.
+PIECES, WORDS, PAIRS, LONG = 64 << 20, 32 << 20, 24 << 20, 64
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
@@ -62,7 +66,8 @@ class Transducer:
             for c in reversed(t):
                 node = node.setdefault(c, {})
             node[""] = t
-        self._holds: dict[tuple[str, str], bool] = {}
+        self._holds = Memo("bpe", PAIRS)
+        self.lookahead = self.sufficient_lookahead()
 
     def _own_merge(self, t: str) -> bool:
         return t in self.made and self.plain(t) == [t]
@@ -83,22 +88,32 @@ class Transducer:
         return parts
 
     def sufficient_lookahead(self) -> int:
-        """Symbols after which a token can't change any more, whatever follows: each border that a later symbol
-        moves does so by a merge of lower rank than the one before, so there are no more moves than merges, and none
-        is wider than the longest token. The window that `encode` keeps is far smaller: it ends where chains meet."""
-        return len(self.rank) * self.max_len
+        """Symbols after which a token can't change any more, whatever follows.
+
+        What follows a text can only change a merge near its end, and a merge that comes or goes can only change later
+        ones (of higher rank) that take up one of its parts, or what it makes, at the same border: such a merge (a, b)
+        has that token at the left edge of b, and moves the change to the left by a. So the merges that carry a change
+        leftwards form a chain of rising ranks; the longest one is found rank by rank."""
+        reach: dict[str, int] = {}  # token -> how far left of its end a change of it may have come from
+        longest = 0
+        for (a, b), _ in sorted(self.rank.items(), key=lambda x: x[1]):
+            far = max((reach.get(x, 0) for x, _ in self._spine(b, 1)), default=0)
+            now = len(a) + max(far, len(b))
+            for x in (a, a + b):
+                reach[x] = max(reach.get(x, 0), now)
+            longest = max(longest, now)
+        return longest + self.max_len
 
     def borders_hold(self, u: str, v: str) -> bool:
         """Whether u and v, side by side, stay apart: no part at the end of u meets a part at the start of v,
         while both exist, whose merge comes before those that build on them. Equal ranks go to the left one."""
         hit = self._holds.get((u, v))
         if hit is None:
-            if len(self._holds) >= PAIRS:
-                self._holds.clear()
-            hit = self._holds[u, v] = not any(
+            hit = not any(
                 (m := self.rank.get((x, y), -1)) >= 0 and m < until_x and m <= until_y
                 for x, until_x in self._spine(u, 2) for y, until_y in self._spine(v, 1)
             )
+            self._holds.put((u, v), hit)
         return hit
 
     def _spine(self, t: str, side: int) -> list[tuple[str, int]]:
@@ -140,6 +155,10 @@ class Transducer:
                     live.remove(i)
                     live.add(i - len(last[i]))
                 cut = live.pop()
+                if n - cut > self.lookahead + self.max_len:  # never further back than the merge list demands
+                    cut = n
+                    while n - cut < self.lookahead:
+                        cut -= len(last[cut])
                 yield from self._chain(last, cut)
                 buf, last = buf[cut:], last[cut:]  # last[0] is now the token before what comes
                 step = len(last) + 2 * self.max_len
@@ -172,19 +191,19 @@ def space_pieces(text: str) -> list[str]:
 
 class Encoder:
     """Whole texts to ids for the two kinds of vocabulary files: words (lower case, white space dropped, word ends
-    marked) and bytes (a space opens the word after it). Texts are cut where neither kind joins anything, and what
-    lies between cuts goes through the transducer once; a bounded memo keeps its ids."""
+    marked) and bytes (a space opens the word after it). Texts are cut where neither kind joins anything. What lies
+    between cuts is normalised and pre-tokenised by the library, and goes through the transducer once; bounded memos
+    keep the ids of short pieces."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         model, before = spec["model"], spec["pre_tokenizer"]
-        kinds = [x["type"] for x in before.get("pretokenizers", [before])]
-        self.by_words = "Split" in kinds
-        if self.by_words:
-            self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in before["pretokenizers"] if x["type"] == "Split"))
-        else:
-            self.pattern = regex.compile(BYTE_PATTERN)
+        self.by_words = "Split" in [x["type"] for x in before.get("pretokenizers", [before])]
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.transducer = Transducer(model["vocab"], merges, self.suffix)
@@ -192,61 +211,69 @@ class Encoder:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self.symbol = byte_symbols()
-        of = {c: b for b, c in enumerate(self.symbol)}
+        of = {c: b for b, c in enumerate(byte_symbols())}
         self.byte_parts = {i: bytes(map(of.__getitem__, t)) if all(c in of for c in t) else t.encode() for i, t in self.names.items()} if self.byte_level else {}
-        self.memo: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, as little-endian unsigned 32-bit integers."""
-        symbols = [self.symbol[b] for b in word.encode()]
-        if self.suffix:
-            symbols[-1] += END
-        t = self.transducer
-        return array("I", (t.ids[x] for x in t.encode(symbols) if x in t.ids)).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        out = []
+        self.memo, self.inner = Memo("bpe", PIECES), Memo("bpe", WORDS)
+
+    def _word(self, word: str) -> Iterator[bytes]:
+        """Ids of one pre-token (its bytes as printable characters), as little-endian unsigned 32-bit integers, as soon
+        as they are stable."""
+        t, n, out = self.transducer, len(word), array("I")
+        symbols = chain(islice(word, n - 1), (word[n - 1] + END,)) if self.suffix else word
+        for x in t.encode(symbols):
+            if x in t.ids:
+                out.append(t.ids[x])
+                if len(out) >= STEP:
+                    yield out.tobytes()
+                    out = array("I")
+        yield out.tobytes()
+
+    def _piece(self, piece: str) -> Iterator[bytes]:
+        inner = self.inner
         for k, part in enumerate(self.cut.split(piece)):
             if k % 2:
-                out.append(self.special[part].to_bytes(4, "little"))
+                yield self.special[part].to_bytes(4, "little")
                 continue
-            if self.by_words:
-                part = WHITE.sub(" ", unicodedata.normalize("NFC", part))
-                part = "".join(map(str.lower, part)) if "\u03a3" in part else part.lower()
-            for word in self.pattern.findall(part):
-                if (ids := self.inner.get(word)) is None:
-                    ids = self._word(word)
-                    if len(word) <= 64:
-                        if len(self.inner) >= MEMO:
-                            self.inner.clear()
-                        self.inner[word] = ids
-                out.append(ids)
-        return b"".join(out)
-
-    def _pieces(self, text: str) -> list[str]:
+            if self.normalizer is not None:
+                part = self.normalizer.normalize_str(part)
+            for word, _ in self.pre_tokenizer.pre_tokenize_str(part) if part else ():
+                if word in inner:
+                    yield inner[word]
+                elif len(word) <= LONG:
+                    yield inner.put(word, b"".join(self._word(word)))
+                else:
+                    yield from self._word(word)
+
+    def _pieces(self, text: str) -> Iterable[str]:
         """Parts of a text that share no token: split at white space, or before the last space of a run."""
         if not self.by_words:
             return space_pieces(text)
-        return [x for x in WHITE.split(text) if x] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return (x for x in WHITE.split(text) if x) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """Ids of a text, as little-endian unsigned 32-bit integers, part by part. No more than STEP bytes of short
+        pieces, or STEP ids of a long one, are held."""
+        memo, out, held = self.memo, [], 0
+        for x in self._pieces(text):
+            ids = memo.get(x)
+            if ids is None:
+                if len(x) <= LONG:
+                    ids = memo.put(x, b"".join(self._piece(x)))
+                else:
+                    yield b"".join(out)
+                    yield from self._piece(x)
+                    out, held = [], 0
+                    continue
+            out.append(ids)
+            held += len(ids)
+            if held >= STEP:
+                yield b"".join(out)
+                out, held = [], 0
+        yield b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text, as little-endian unsigned 32-bit integers."""
-        memo, pieces = self.memo, self._pieces(text)
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            out = []
-            for x in pieces:
-                if (ids := memo.get(x)) is None:
-                    ids = self._piece(x)
-                    if len(x) <= 64:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[x] = ids
-                out.append(ids)
-            return b"".join(out)
+        """All ids of a text at once."""
+        return b"".join(self.stream(text))
 
     def decoder(self) -> Decoder:
         return Decoder(self)
@@ -276,7 +303,7 @@ class Decoder:
         return self.state.decode(b"", True) if self.byte_level else ""
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = Cache("bpe")
 
 
 def encoder(path: str) -> Encoder:
@@ -286,17 +313,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-STEP = 1 << 16  # ids that are decoded at a time
-
-
-def round_trip(path: str, text: str | None) -> tuple[int, bytes, str, bytes]:
-    """Number of ids, the ids, sha256 of the ids and of the text that they decode to."""
-    ids = encoder(path).encode(text or "")
-    decoder, found = encoder(path).decoder(), hashlib.sha256()
-    for k in range(0, len(ids), 4 * STEP):
-        found.update(decoder.feed(memoryview(ids[k : k + 4 * STEP]).cast("I")).encode())
-    found.update(decoder.end().encode())
-    return len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), found.hexdigest()
+def round_trip(own: Encoder, text: str | None) -> tuple[int, str, str]:
+    """Number of ids, sha256 of the ids and of the text that they decode to. Neither is ever held as a whole."""
+    decoder, ids, back, n = own.decoder(), hashlib.sha256(), hashlib.sha256(), 0
+    for part in own.stream(text or ""):
+        n += len(part) // 4
+        ids.update(part)
+        back.update(decoder.feed(memoryview(part).cast("I")).encode())
+    back.update(decoder.end().encode())
+    return n, ids.hexdigest(), back.hexdigest()
 
 
 def round_trip_column(text, path: str):
@@ -304,9 +329,10 @@ def round_trip_column(text, path: str):
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("bpe")
+        own = encoder(path)
         for texts in batches:
-            rows = [round_trip(path, x) for x in texts]
-            yield pd.DataFrame({"n_tokens": [r[0] for r in rows], "ids_sha256": [r[2] for r in rows], "decoded_sha256": [r[3] for r in rows]})
+            yield pd.DataFrame([round_trip(own, x) for x in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return both(text)
 
@@ -316,6 +342,7 @@ def encode_column(text, path: str):
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("bpe")
         for texts in batches:
             yield pd.Series([list(memoryview(encoder(path).encode(x or "")).cast("I")) for x in texts], dtype=object)
 
@@ -327,6 +354,7 @@ def decode_column(ids, path: str):
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("bpe")
         for rows in batches:
             out = []
             for x in rows:
@@ -343,5 +371,6 @@ def decode_column(ids, path: str):
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (repeated rows give repeated results; an empty
     or null text has no ids; columns other than doc_id and text are not read). One pass, no shuffle."""
+    small_batches(docs.sparkSession)
     found = docs.select("doc_id", round_trip_column(docs["text"], path).alias("found"))
     return found.select("doc_id", "found.n_tokens", "found.ids_sha256", "found.decoded_sha256")
