@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesnap.llm.common import remove, written
+from lakesnap.llm.common import Steps, remove, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -21,14 +21,15 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) for each end of edges (a, b: long). Each round is a table in the shared folder."""
-    spark = edges.sparkSession
-    now, seen = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"), None
+def components(edges: DataFrame, steps: Steps | None = None) -> DataFrame:
+    """node, component (its least node) for each end of edges (a, b: long). Each round is a table in the shared folder;
+    the last one, which the result reads, is left to steps."""
+    spark, kept = edges.sparkSession, steps.written if steps else written
+    now, seen = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"), None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         seen, before = state, now
-        now = written(_small(_large(now)), "edges")
+        now = kept(_small(_large(now)), "edges")
         remove(spark, before)

@@ -2,13 +2,16 @@
 
 Each document's signature has K coordinates; a pair whose sets overlap by `similarity` agrees in more than LEAST of
 them but for one pair in millions. Pairs that agree in LEAST coordinates share one of the first K - LEAST + 1 under any
-common order of (coordinate, value): only those are posted, rare values first, so values that a passage puts into many
-documents are rarely posted at all. Documents meet where they are posted alike; the collisions of those that meet are
-then counted over whole signatures, and links are confirmed on whole sets.
+common order of (coordinate, value): only those are posted (the prefix), rare values first, so values that a passage
+puts into many documents are rarely posted at all. Documents meet where they are posted alike. Instead of a merge of
+posting lists, the collisions of two that meet are counted over their whole signatures, after pairs whose sizes or
+components rule them out have been skipped; links are confirmed on whole sets.
 
 Exact copies of a set are one class throughout. In each of ROUNDS rounds, the classes of a posting list are compared
 with one of them, a number of pairs in proportion to the postings; classes in one component need no more comparisons.
-At the end, all that still meet in different components are compared with each other, so no link is lost.
+At the end, all that still meet in different components are compared: in lists of up to FEW classes as pairs, in longer
+lists by a prefix join on the shingles themselves (`prefix_pairs`), which forms no pairs of texts that only share a
+part. With `exact`, that join takes the place of the signatures for all classes, and no link can be lost.
 """
 
 from __future__ import annotations
@@ -21,17 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesnap.llm.common import bucketed, remove, written
+from lakesnap.llm.common import Memo, Steps, claim, small_batches
 from lakesnap.llm.components import components
 
 K, LEAST = 48, 24
 #: A (coordinate, value) is heavy if it has over 1 / HEAVY of all postings; there are fewer than HEAVY of those.
-HEAVY = 1 << 20
+HEAVY = 1 << 18
 #: Times that the classes of a list are compared with one of them only, before any two that are still apart are.
 ROUNDS = 3
-#: Classes of a list whose pairs are formed as rows at the end; longer lists are compared in blocks of BLOCK classes.
-FEW, BLOCK = 64, 1024
-MEMO = 250_000
+#: Classes of a list whose pairs are formed as rows at the end; longer lists go through a prefix join.
+FEW = 64
+#: Bytes of the memo of word hashes; characters of a word that enters it.
+MEMO, LONG = 24 << 20, 64
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,15 +50,13 @@ _SEEDS = _mixed(np.arange(1, 2 * K + 1, dtype=np.uint64) * _MULTIPLY)
 _XOR, _ODD = _SEEDS[:K], _SEEDS[K:] | np.uint64(1)
 
 
-class _Words(dict):
+class _Words(Memo):
     def __missing__(self, w: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w)
-        return h
+        h = xxhash.xxh3_64_intdigest(w)
+        return self.put(w, h) if len(w) <= LONG else h
 
 
-_words = _Words()
+_words = _Words("minhash", MEMO)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -83,6 +85,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set (128-bit hash of the set; null if empty), signature (array<int>)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("minhash")
         for pdf in batches:
             out = []
             for text in pdf.text:
@@ -93,20 +96,24 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set binary, signature array<int>")
 
 
+def _tokens(classes: DataFrame, signature) -> DataFrame:
+    """node, token: coordinate and value as one integer."""
+    value = F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))
+    return classes.select("node", F.posexplode(signature).alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + value).alias("token"))
+
+
 def postings(classes: DataFrame, size: int = K, least: int = LEAST) -> DataFrame:
     """node, token: of each class (node, signature) the first K - LEAST + 1 tokens, light ones first, then heavy ones from rare to frequent."""
     spark = classes.sparkSession
-    tokens = classes.select("node", F.posexplode("signature").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
     total = classes.count() * size
-    counted = tokens.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > max(2, total // HEAVY))
-    heavy = {r.token: r.n for r in counted.collect()}  # fewer than HEAVY
-    if not heavy:
-        return classes.select("node", F.posexplode(F.slice("signature", 1, size - least + 1)).alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-    keys = np.array(sorted(heavy), np.int64)
-    often = np.array([heavy[k] for k in keys.tolist()], np.int64)
-    shared = spark.sparkContext.broadcast((keys, often))
+    counted = _tokens(classes, "signature").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > max(2, total // HEAVY))
+    heavy = counted.toArrow().sort_by("token")  # fewer than HEAVY rows of two integers
+    if not heavy.num_rows:
+        return _tokens(classes, F.slice("signature", 1, size - least + 1))
+    shared = spark.sparkContext.broadcast((heavy["token"].to_numpy(), heavy["n"].to_numpy()))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("minhash")
         keys, often = shared.value
         for pdf in batches:
             if not len(pdf):
@@ -121,13 +128,17 @@ def postings(classes: DataFrame, size: int = K, least: int = LEAST) -> DataFrame
     return classes.select("node", "signature").mapInPandas(first, "node long, token long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those with 100 x intersection >= percent x union of their whole sets."""
-    a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, steps: Steps) -> DataFrame:
+    """Of pairs (a, b) those with 100 x intersection >= percent x union of their whole sets. The texts of all a are a
+    table of their own: the join on a shuffles both sides, so that Spark can split the partition of an a with many b."""
+    hubs = steps.written(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "hubs")
+    a, b = hubs.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("minhash")
+        last, x = None, None
         for pdf in batches:
-            keep, last, x = [], None, None
+            keep = []
             for p, s, t in zip(pdf.a, pdf.text_a, pdf.text_b, strict=True):
                 if p != last:
                     last, x = p, shingles(s, size)
@@ -139,35 +150,34 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
-def _dense(posted: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between components in lists of n classes (token, node, component, n). Two blocks of a list at a
-    time, all intersections of their whole sets come from one product of incidence matrices; only links leave."""
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
-    rows = posted.join(texts, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "text")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t, size) for t in pdf.text]
-        n = np.array([len(s) for s in sets])
-        every, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), n)
-        column = (np.cumsum(often > 1) - 1)[at]
-        row, column = row[often[at] > 1], column[often[at] > 1]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            a, b = np.searchsorted(column, (k, k + 4096))
-            x = np.zeros((len(sets), 4096), np.float32)
-            x[row[a:b], column[a:b] - k] = 1
-            both += x @ x.T
-        c, node = pdf.component.to_numpy(), pdf.node.to_numpy()
-        hit = (100 * both >= percent * (n[:, None] + n[None] - both)) & (c[:, None] != c[None]) & (node[:, None] < node[None])
-        a, b = np.nonzero(hit)
-        return pd.DataFrame({"a": node[a], "b": node[b]})
-
-    return rows.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+def prefix_pairs(nodes: DataFrame, size: int, percent: int, steps: Steps) -> DataFrame:
+    """Pairs (a, b) of nodes (node, component, text) of different components that may be similar enough: every pair that
+    is, is among them. Shingles are ordered from rare to frequent; of two similar sets, the first shingle in common is
+    among the first n - ceil(percent n / 100) + 1 of the larger, among the first n - ceil(2 percent n / (100 + percent)) + 1
+    of the smaller, and leaves enough behind it in both. Texts that share a part, however many, meet nowhere unless
+    that part is nearly all of one."""
+
+    def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("minhash")
+        for pdf in batches:
+            sets = [shingles(t, size).view(np.int64) for t in pdf.text]
+            n = np.array([len(s) for s in sets], np.int64)
+            if n.sum():
+                yield pd.DataFrame({"node": np.repeat(pdf.node.to_numpy(), n), "component": np.repeat(pdf.component.to_numpy(), n), "n": np.repeat(n, n), "s": np.concatenate(sets)})
+
+    shingled = steps.written(nodes.select("node", "component", "text").mapInPandas(every, "node long, component long, n long, s long"), "shingles")
+    often = shingled.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    # of each set the shingles that others have too, in order; those before them are its own alone
+    shared = shingled.join(often, "s").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
+    alone = F.col("n") - F.size("l")
+    posted = shared.select("node", "component", "n", alone.alias("alone"), F.posexplode("l").alias("k", "x")).select("node", "component", "n", (F.col("alone") + F.col("k")).alias("i"), "x.s")
+    posted = steps.written(posted.where((F.col("n") - F.col("i")) * 100 >= percent * F.col("n")), "prefixes")
+    larger = posted.select("s", F.struct("n", "node").alias("p"), F.col("component").alias("cp"), (F.col("n") - F.col("i")).alias("rest_p"))
+    smaller = posted.where((F.col("n") - F.col("i")) * (100 + percent) >= 2 * percent * F.col("n"))
+    smaller = smaller.select("s", F.struct("n", "node").alias("q"), F.col("component").alias("cq"), (F.col("n") - F.col("i")).alias("rest_q"))
+    fits = (F.col("q") < F.col("p")) & (F.col("cp") != F.col("cq")) & (100 * F.col("q.n") >= percent * F.col("p.n"))
+    enough = (100 + percent) * F.least("rest_p", "rest_q") >= percent * (F.col("p.n") + F.col("q.n"))
+    return larger.join(smaller, "s").where(fits & enough).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
@@ -178,53 +188,71 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> Da
     return pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(same >= least).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     Documents are linked if 100 x intersection >= percent x union of their distinct word shingles. Null and empty texts
     are linked with nothing; rows equal in their set are linked, repeated rows too; a null doc_id is linked with
     nothing and kept. Rows of one doc_id with different texts are told apart by their sets. Words and hashes ignore
-    the case of A-Z. Columns other than doc_id and text are not read."""
-    rows = written(signed(docs, size), "signed")
-    own = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = own.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
-    classes = bucketed(classes, "node", "classes")
-    posted = written(postings(classes), "postings")
-    posted = posted.withColumn("component", F.col("node"))
+    the case of A-Z. Columns other than doc_id and text are not read.
+
+    A link at the similarity of `percent` is lost with a chance below 1e-6, unless exact: then candidates come from the
+    shingles themselves, at the price of a shuffle of all of them."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    with Steps(spark) as steps:
+        rows = steps.written(signed(docs, size), "signed")
+        own = rows.where("n_shingles > 0 and doc_id is not null")
+        classes = own.groupBy("set").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
+        classes = steps.bucketed(classes, "node", "classes")
+        found = _all_links(docs, classes, size, percent, steps) if exact else _links(docs, classes, size, percent, steps)
+        of = classes.select("set", F.col("node")).join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
+        alone = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
+        out = rows.select("doc_id", "n_shingles", "set").join(of, "set", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
+        return steps.result(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+
+
+def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int, steps: Steps) -> DataFrame:
+    """node, component of the classes that have links."""
+    posted = steps.written(postings(classes), "postings").withColumn("component", F.col("node"))
     links = texts = found = tested = None
     for r in range(ROUNDS + 1):
         # only lists in which two components meet
         hub = F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(r)))
         lists = posted.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), hub.alias("hub")).where("x < y").select("token", "hub")
-        posted = written(posted.join(lists, "token"), "lists")
+        posted = steps.written(posted.join(steps.written(lists, "hubs-of-lists"), "token"), "lists")
         if r == 0:
-            texts = bucketed(_texts(docs, classes.join(posted.select("node").distinct(), "node", "left_semi"), size), "node", "texts")
+            texts = steps.bucketed(_texts(docs, classes.join(posted.select("node").distinct(), "node", "left_semi"), size), "node", "texts")
         if r < ROUNDS:
             pairs = posted.where("component <> hub.component").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
         else:
-            many = posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > FEW)
+            many = steps.written(posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > FEW), "long-lists")
             a, b = (posted.join(many, "token", "left_anti").select("token", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
             pairs = a.join(b, "token").where("a < b and ca <> cb").select("a", "b").distinct()
-            dense = written(_dense(posted.join(many, "token"), texts, size, percent), "dense")
-            links = links.union(dense)
+            crowd = posted.join(many, "token", "left_semi").select("node", "component").distinct()
+            pairs = pairs.union(prefix_pairs(crowd.join(texts, "node"), size, percent, steps)).distinct()
         pairs = _alike(pairs, classes, LEAST, percent)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
+        pairs = steps.written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
         tested = pairs.union(tested) if tested else pairs
-        new = written(_confirmed(pairs, texts, size, percent), "links")
+        new = steps.written(_confirmed(pairs, texts, size, percent, steps), "links")
         links = links.union(new) if links else new
-        found = written(components(links), "components")
+        found = steps.written(components(links, steps), "components")
         posted = posted.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    remove(docs.sparkSession, texts)
-    of = classes.select("set", F.col("node")).join(found, "node", "left").select("set", F.coalesce("component", "node").alias("component_id"))
-    alone = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    out = rows.select("doc_id", "n_shingles", "set").join(of, "set", "left").select("doc_id", "n_shingles", alone.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found
+
+
+def _all_links(docs: DataFrame, classes: DataFrame, size: int, percent: int, steps: Steps) -> DataFrame:
+    """_links() without signatures."""
+    texts = steps.bucketed(_texts(docs, classes, size), "node", "texts")
+    pairs = steps.written(prefix_pairs(texts.withColumn("component", F.col("node")), size, percent, steps), "pairs")
+    return steps.written(components(steps.written(_confirmed(pairs, texts, size, percent, steps), "links"), steps), "components")
 
 
 def _texts(docs: DataFrame, met: DataFrame, size: int) -> DataFrame:
     """node, text of the classes met (node, set): of the rows of docs with that doc_id one with that set."""
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("minhash")
         for pdf in batches:
             keep = [xxhash.xxh3_128_digest(shingles(t, size).tobytes()) == bytes(s) for t, s in zip(pdf.text, pdf.set, strict=True)]
             if any(keep):

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesnap.llm.common import claim, small_batches
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 or more; a shorter run holds no longer match
 HEX = re.compile(r"[0-9a-f]{16,}")
@@ -237,6 +239,7 @@ def report_column(text):
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("secrets")
         for texts in batches:
             rows = []
             for x in texts:
@@ -253,6 +256,7 @@ def redact_column(text, mark: str = "<secret>"):
 
     @F.pandas_udf("string")
     def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("secrets")
         for texts in batches:
             yield pd.Series([redacted(x, mark) for x in texts], dtype=object)
 
@@ -273,5 +277,6 @@ def redacted(text: str | None, mark: str = "<secret>") -> str | None:
 def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel for each row of docs. One pass, no shuffle; columns
     other than doc_id and text are not read; repeated rows give repeated results."""
+    small_batches(docs.sparkSession)
     found = docs.select("doc_id", report_column(docs["text"]).alias("found"))
     return found.select("doc_id", *(f"found.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")))

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesnap.llm.common import Cache, Memo, claim, small_batches
+
 WORD = re.compile(r"\w+")
 MARK = re.compile(r"\w+|[\"“”„«»‘’]")
 #: Labelled rows that the model is fitted on at most, those with the smallest hash of doc_id.
@@ -27,7 +29,8 @@ TRAIN_ROWS = 20_000
 TERMS, LEAST, STEMS = 400, 5, (3, 4, 5, 6, 7)
 FUZZY_FROM = 5  # letters from which a word may have an edit
 WINDOW = 12  # words on either side of a hit
-MEMO = 150_000
+#: Bytes of the memo of words; letters of a word that enters it.
+MEMO, LONG = 24 << 20, 64
 #: Verbs and nouns that report someone else's words, in four languages.
 REPORTING = frozenset("said says called calls wrote quote quoted quoting reported reports cited term word words insult insults sagte nannte zitat wort dit appelé citation mot dijo llamó cita palabra".split())
 FEATURES = ("exact", "fuzzy", "stem", "weight", "company", "quoted", "density", "kinds")
@@ -58,7 +61,8 @@ class Lexicon:
         self._moves: list[dict[str, int]] = []
         self._sets: list[frozenset] = []
         self._start = self._state({(0, 0)})
-        self._memo: dict[str, tuple[str, str] | None] = {}
+        self._memo = Memo("toxicity", MEMO)
+        self._longest_stem, self._longest = max(map(len, self.stems), default=0), max(map(len, self.terms), default=0)
 
     def _state(self, positions: set[tuple[int, int]]) -> int:
         todo = list(positions)
@@ -95,10 +99,10 @@ class Lexicon:
         """The best match of a word: (kind, entry) of an exact term, a beginning, or a term with an edit; or None."""
         if word in self.terms:
             return "exact", word
-        for n in range(len(word), 0, -1):
+        for n in range(min(len(word), self._longest_stem), 0, -1):
             if word[:n] in self.stems:
                 return "stem", word[:n]
-        if len(word) < FUZZY_FROM:
+        if not FUZZY_FROM <= len(word) <= self._longest + self.edits:
             return None
         state = self._start
         for c in word:
@@ -110,18 +114,16 @@ class Lexicon:
         return ("fuzzy", min(close)[1]) if close else None
 
     def looked_up(self, word: str) -> tuple[str, str] | None:
-        if word not in self._memo:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            self._memo[word] = self.find(word)
-        return self._memo[word]
+        if word in self._memo:
+            return self._memo[word]
+        hit = self.find(word)
+        return self._memo.put(word, hit) if len(word) <= LONG else hit
 
 
 def features(lexicon: Lexicon, text: str | None) -> list[float]:
-    """FEATURES of a text; all 0 without hits."""
+    """FEATURES of a text; all 0 without hits. Time is linear in the text."""
     low = (text or "").lower()
-    tokens = WORD.findall(low)
-    memo = lexicon._memo
+    tokens, memo = WORD.findall(low), lexicon._memo
     hits = [(k, w) for k, w in enumerate(tokens) if (memo[w] if w in memo else lexicon.looked_up(w))]
     if not hits:
         return [0.0] * len(FEATURES)
@@ -131,8 +133,8 @@ def features(lexicon: Lexicon, text: str | None) -> list[float]:
     at = [k for k, _, _ in found]
     quoted = company = 0
     for n, k in enumerate(at):
-        near = tokens[max(0, k - WINDOW) : k]
-        quoted += k in inside or any(w in REPORTING for w in near[-4:])
+        near = tokens[max(0, k - 4) : k]
+        quoted += k in inside or any(w in REPORTING for w in near)
         company += (n > 0 and k - at[n - 1] <= WINDOW) or (n + 1 < len(at) and at[n + 1] - k <= WINDOW)
     weights = [(lexicon.stems if kind == "stem" else lexicon.terms)[entry] for _, kind, entry in found]
     return [
@@ -211,6 +213,7 @@ def choose(counts: pd.DataFrame, positive: int, negative: int, terms: int = TERM
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fits lexicon and model on at most `rows` labelled documents whose crc32(doc_id) mod 5 is not 0. Without both
     labels, every text scores the base rate. Only counts of terms and the features of these rows reach the driver."""
+    small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # bounded, so it may be broadcast
@@ -219,6 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     try:
 
         def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            claim("toxicity")
             count: tuple[Counter, Counter] = Counter(), Counter()
             for pdf in batches:
                 for text, toxic in zip(pdf.text, pdf.toxic, strict=True):
@@ -241,7 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             return Model(lexicon, [0.0] * len(FEATURES), math.log(p / (1 - p)))
 
         def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = Lexicon(lexicon_terms, lexicon_stems)
+            claim("toxicity")
+            own = _using((tuple(lexicon_terms.items()), tuple(lexicon_stems.items()), (), 0.0)).lexicon
             for pdf in batches:
                 yield pd.DataFrame([features(own, t) for t in pdf.text], columns=list(FEATURES)).assign(toxic=pdf.toxic)
 
@@ -253,7 +258,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(lexicon, w.tolist(), b)
 
 
-_models: dict[tuple, Model] = {}
+#: The model in use, by what it was made from.
+_models: dict[tuple, Model] = Cache("toxicity")
+
+
+def _using(made: tuple) -> Model:
+    if made not in _models:
+        _models.clear()
+        _models[made] = Model(Lexicon(dict(made[0]), dict(made[1])), list(made[2]), made[3])
+    return _models[made]
 
 
 def score_column(text, model: Model):
@@ -262,10 +275,8 @@ def score_column(text, model: Model):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if made not in _models:
-            _models.clear()
-            _models[made] = Model(Lexicon(dict(made[0]), dict(made[1])), list(made[2]), made[3])
-        own = _models[made]
+        claim("toxicity")
+        own = _using(made)
         for texts in batches:
             yield pd.Series([own.score(x) for x in texts], dtype=float)
 
@@ -273,7 +284,11 @@ def score_column(text, model: Model):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs. A null doc_id counts as held out."""
+    """doc_id, held_out, score, predicted for each row of docs. A null doc_id counts as held out. Null and empty texts
+    score what a text without hits scores. Rows that repeat a doc_id are scored one by one, each by its text; a doc_id
+    that is labelled several times is toxic if one label says so. Ties at a score of 0.5 are predicted 1. Columns of
+    docs other than doc_id and text are not read, nor those of labels other than doc_id and toxic. Without labels, or
+    with those of one kind only, all texts get the same score; an empty table gives no rows."""
     model = train(docs, labels)
     found = docs.select("doc_id", score_column(docs["text"], model).alias("score"))
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
