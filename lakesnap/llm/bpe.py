@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ from lakesnap.llm.common import Cache, Memo, claim, small_batches
 STEP = 1 << 16
 END = "\0"  # stands for the end-of-word suffix, attached to the last symbol
 #: Bytes of the memos of pieces, of words and of token pairs, which only save time; characters of what enters them.
-PIECES, WORDS, PAIRS, LONG = 64 << 20, 32 << 20, 24 << 20, 64
+PIECES, WORDS, PAIRS, LONG = 112 << 20, 32 << 20, 24 << 20, 64
+#: Pieces of a text whose ids are put together at a time.
+MANY = 1 << 13
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
@@ -60,15 +63,24 @@ class Transducer:
         # A token counts if merging its own symbols gives it back; others never come out.
         self.tokens = {t for t in self.ids if len(t) == 1 or (len(t) == 2 and t[1] == END) or self._own_merge(t)}
         self.max_len = max(map(len, self.tokens), default=1)
-        self.endings: dict = {}  # trie of the tokens, read backwards; "" holds the token
-        for t in self.tokens:
-            node = self.endings
-            for c in reversed(t):
-                node = node.setdefault(c, {})
-            node[""] = t
-        self._holds = Memo("bpe", PAIRS)
+        # the automaton over all tokens: state 0 is the empty text, others the beginnings of tokens; made as it is met
+        self._starts = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
+        self._go, self._states, self._names, self._ends = Cache("bpe"), {"": 0}, [""], [()]
+        self._holds = Memo("bpe", PAIRS, lambda uv: self.borders_hold(*uv))
         self.lookahead = self.sufficient_lookahead()
 
+    def _next(self, state: int, symbol: str) -> int:
+        """The longest end of (state, symbol) that a token begins with, and the tokens that end there, longest first."""
+        text = self._names[state] + symbol
+        while text and text not in self._starts:
+            text = text[1:]
+        if text not in self._states:
+            self._states[text] = len(self._names)
+            self._names.append(text)
+            ends = (text[k:] for k in range(len(text)))
+            self._ends.append(tuple((t, len(t)) for t in ends if t in self.tokens and t != END))
+        return self._states[text]
+
     def _own_merge(self, t: str) -> bool:
         return t in self.made and self.plain(t) == [t]
 
@@ -107,14 +119,10 @@ class Transducer:
     def borders_hold(self, u: str, v: str) -> bool:
         """Whether u and v, side by side, stay apart: no part at the end of u meets a part at the start of v,
         while both exist, whose merge comes before those that build on them. Equal ranks go to the left one."""
-        hit = self._holds.get((u, v))
-        if hit is None:
-            hit = not any(
-                (m := self.rank.get((x, y), -1)) >= 0 and m < until_x and m <= until_y
-                for x, until_x in self._spine(u, 2) for y, until_y in self._spine(v, 1)
-            )
-            self._holds.put((u, v), hit)
-        return hit
+        return not any(
+            (m := self.rank.get((x, y), -1)) >= 0 and m < until_x and m <= until_y
+            for x, until_x in self._spine(u, 2) for y, until_y in self._spine(v, 1)
+        )
 
     def _spine(self, t: str, side: int) -> list[tuple[str, int]]:
         out, until = [], sys.maxsize
@@ -124,31 +132,45 @@ class Transducer:
                 return out
             until, t = self.made[t][0], self.made[t][side]
 
+    def window(self, symbols: list[str]) -> list[str]:
+        """Tokens of a string no longer than the window of encode(), which then emits nothing before its end."""
+        last, n, state = [""], 0, 0
+        go, ends, holds = self._go, self._ends, self._holds
+        for s in symbols:
+            n += len(s)
+            if len(s) > 1:
+                last.append(None)
+            key = state, s
+            state = go.get(key)
+            if state is None:
+                state = go[key] = self._next(*key)
+            for t, k in ends[state]:
+                if (before := last[n - k]) is not None and (not before or holds[before, t]):
+                    last.append(t)
+                    break
+            else:
+                last.append(s)
+        return self._chain(last, n)
+
     def encode(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a stream of symbols, each as soon as it is stable."""
-        buf, last = "", [""]  # last[i]: last token of the prefix that ends at i
-        step, endings, holds = 2 * self.max_len, self.endings, self._holds
+        last, n, state = [""], 0, 0  # last[i]: last token of the prefix that ends at i
+        step, go, ends, holds = 2 * self.max_len, self._go, self._ends, self._holds
         for s in symbols:
-            buf += s
-            for _ in s[1:]:
+            n += len(s)
+            if len(s) > 1:
                 last.append(None)  # inside a symbol no prefix ends
-            n = len(buf)
-            node, found = endings, []
-            for c in reversed(buf):
-                node = node.get(c)
-                if node is None:
-                    break
-                t = node.get("")
-                if t is not None:
-                    found.append(t)
-            for t in reversed(found):
-                before = last[n - len(t)]
-                if before is not None and (not before or holds.get((before, t)) or ((before, t) not in holds and self.borders_hold(before, t))):
+            key = state, s
+            state = go.get(key)
+            if state is None:
+                state = go[key] = self._next(*key)
+            for t, k in ends[state]:
+                if k <= n and (before := last[n - k]) is not None and (not before or holds[before, t]):
                     last.append(t)
                     break
             else:
-                last.append(buf[n - len(s) :])
-            if len(last) > step:
+                last.append(s)
+            if n > step:
                 live = {i for i in range(max(0, n - self.max_len + 1), n + 1) if last[i] is not None}
                 while len(live) > 1:
                     i = max(live)
@@ -160,9 +182,9 @@ class Transducer:
                     while n - cut < self.lookahead:
                         cut -= len(last[cut])
                 yield from self._chain(last, cut)
-                buf, last = buf[cut:], last[cut:]  # last[0] is now the token before what comes
-                step = len(last) + 2 * self.max_len
-        yield from self._chain(last, len(last) - 1)
+                last, n = last[cut:], n - cut  # last[0] is now the token before what comes
+                step = n + 2 * self.max_len
+        yield from self._chain(last, n)
 
     @staticmethod
     def _chain(last: list, end: int) -> list[str]:
@@ -203,7 +225,8 @@ class Encoder:
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         model, before = spec["model"], spec["pre_tokenizer"]
-        self.by_words = "Split" in [x["type"] for x in before.get("pretokenizers", [before])]
+        splits = [x["pattern"]["Regex"] for x in before.get("pretokenizers", [before]) if x["type"] == "Split"]
+        self.by_words, self.pattern = bool(splits), regex.compile(splits[0]) if splits else None
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.transducer = Transducer(model["vocab"], merges, self.suffix)
@@ -213,13 +236,14 @@ class Encoder:
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         of = {c: b for b, c in enumerate(byte_symbols())}
         self.byte_parts = {i: bytes(map(of.__getitem__, t)) if all(c in of for c in t) else t.encode() for i, t in self.names.items()} if self.byte_level else {}
-        self.memo, self.inner = Memo("bpe", PIECES), Memo("bpe", WORDS)
+        self.memo = Memo("bpe", PIECES, self._short_piece, LONG)
+        self.inner = Memo("bpe", WORDS, self._short_word, LONG)
 
     def _word(self, word: str) -> Iterator[bytes]:
         """Ids of one pre-token (its bytes as printable characters), as little-endian unsigned 32-bit integers, as soon
         as they are stable."""
         t, n, out = self.transducer, len(word), array("I")
-        symbols = chain(islice(word, n - 1), (word[n - 1] + END,)) if self.suffix else word
+        symbols = chain(islice(word, n - 1), (word[n - 1] + END,)) if self.suffix else word  # nothing is copied
         for x in t.encode(symbols):
             if x in t.ids:
                 out.append(t.ids[x])
@@ -228,8 +252,24 @@ class Encoder:
                     out = array("I")
         yield out.tobytes()
 
+    def _short_word(self, word: str) -> bytes:
+        """_word() of up to LONG characters."""
+        t, symbols = self.transducer, list(word)
+        if self.suffix:
+            symbols[-1] += END
+        return array("I", [t.ids[x] for x in t.window(symbols) if x in t.ids]).tobytes()
+
+    def _short_piece(self, piece: str) -> bytes:
+        """Ids of a piece of up to LONG characters. In visible ASCII, where all tables of characters agree, the
+        vocabulary's own pattern cuts it."""
+        if not (self.pattern and piece.isascii() and piece.isprintable()) or self.cut.search(piece):
+            return b"".join(self._piece(piece))
+        words = self.pattern.findall(piece.lower())
+        if words == [piece]:
+            return self._short_word(piece)
+        return b"".join([self.memo[w] if w.isalpha() else self.inner[w] for w in words])
+
     def _piece(self, piece: str) -> Iterator[bytes]:
-        inner = self.inner
         for k, part in enumerate(self.cut.split(piece)):
             if k % 2:
                 yield self.special[part].to_bytes(4, "little")
@@ -237,39 +277,31 @@ class Encoder:
             if self.normalizer is not None:
                 part = self.normalizer.normalize_str(part)
             for word, _ in self.pre_tokenizer.pre_tokenize_str(part) if part else ():
-                if word in inner:
-                    yield inner[word]
-                elif len(word) <= LONG:
-                    yield inner.put(word, b"".join(self._word(word)))
+                if len(word) <= LONG:
+                    yield self.inner[word]
                 else:
                     yield from self._word(word)
 
-    def _pieces(self, text: str) -> Iterable[str]:
+    def _pieces(self, text: str) -> list[str]:
         """Parts of a text that share no token: split at white space, or before the last space of a run."""
         if not self.by_words:
             return space_pieces(text)
-        return (x for x in WHITE.split(text) if x) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return [x for x in WHITE.split(text) if x] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
     def stream(self, text: str) -> Iterator[bytes]:
-        """Ids of a text, as little-endian unsigned 32-bit integers, part by part. No more than STEP bytes of short
-        pieces, or STEP ids of a long one, are held."""
-        memo, out, held = self.memo, [], 0
-        for x in self._pieces(text):
-            ids = memo.get(x)
-            if ids is None:
+        """Ids of a text, as little-endian unsigned 32-bit integers, part by part: of MANY pieces at a time, or up to
+        STEP of a long one."""
+        pieces, known = self._pieces(text), self.memo.__getitem__
+        for k in range(0, len(pieces), MANY):
+            some = pieces[k : k + MANY]
+            if max(map(len, some)) <= LONG:
+                yield b"".join(map(known, some))
+                continue
+            for x in some:
                 if len(x) <= LONG:
-                    ids = memo.put(x, b"".join(self._piece(x)))
+                    yield known(x)
                 else:
-                    yield b"".join(out)
                     yield from self._piece(x)
-                    out, held = [], 0
-                    continue
-            out.append(ids)
-            held += len(ids)
-            if held >= STEP:
-                yield b"".join(out)
-                out, held = [], 0
-        yield b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """All ids of a text at once."""

@@ -135,23 +135,31 @@ class Cache(dict):
 
 
 class Memo(Cache):
-    """Results that may be forgotten: also emptied at about `limit` bytes."""
+    """Results that may be forgotten. About `limit` bytes are held, in two halves: when the younger one is full, the
+    older one goes, and what is asked for again comes back from it before that. memo[key] makes what is missing."""
 
-    def __init__(self, owner: str, limit: int):
+    def __init__(self, owner: str, limit: int, make=None, largest: int | None = None):
         super().__init__(owner)
-        self.limit, self.held = limit, 0
+        self.half, self.held, self.old, self.make, self.largest = limit // 2, 0, {}, make, largest
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        return self.put(key, self.make(key) if value is None else value)
 
     def put(self, key, value):
+        if self.largest is not None and len(key) > self.largest:
+            return value
         self.held += sys.getsizeof(key) + sys.getsizeof(value) + 100
-        if self.held > self.limit:
-            self.clear()
+        if self.held > self.half:
+            self.old = dict(self)
+            super().clear()
             self.held = sys.getsizeof(key) + sys.getsizeof(value) + 100
         self[key] = value
         return value
 
     def clear(self) -> None:
         super().clear()
-        self.held = 0
+        self.old, self.held = {}, 0
 
 
 def claim(owner: str) -> None:

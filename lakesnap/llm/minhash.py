@@ -50,13 +50,7 @@ _SEEDS = _mixed(np.arange(1, 2 * K + 1, dtype=np.uint64) * _MULTIPLY)
 _XOR, _ODD = _SEEDS[:K], _SEEDS[K:] | np.uint64(1)
 
 
-class _Words(Memo):
-    def __missing__(self, w: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(w)
-        return self.put(w, h) if len(w) <= LONG else h
-
-
-_words = _Words("minhash", MEMO)
+_words = Memo("minhash", MEMO, xxhash.xxh3_64_intdigest, LONG)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -150,9 +144,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, step
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
-def prefix_pairs(nodes: DataFrame, size: int, percent: int, steps: Steps) -> DataFrame:
-    """Pairs (a, b) of nodes (node, component, text) of different components that may be similar enough: every pair that
-    is, is among them. Shingles are ordered from rare to frequent; of two similar sets, the first shingle in common is
+def prefix_pairs(nodes: DataFrame, size: int, percent: int, steps: Steps, least: int = 0) -> DataFrame:
+    """Pairs (a, b) of nodes (node, component, signature, text) of different components that may be similar enough: every
+    pair that is, is among them (with least: that also agrees in the last byte of so many coordinates). Shingles are ordered from rare to frequent; of two similar sets, the first shingle in common is
     among the first n - ceil(percent n / 100) + 1 of the larger, among the first n - ceil(2 percent n / (100 + percent)) + 1
     of the smaller, and leaves enough behind it in both. Texts that share a part, however many, meet nowhere unless
     that part is nearly all of one."""
@@ -165,27 +159,38 @@ def prefix_pairs(nodes: DataFrame, size: int, percent: int, steps: Steps) -> Dat
             if n.sum():
                 yield pd.DataFrame({"node": np.repeat(pdf.node.to_numpy(), n), "component": np.repeat(pdf.component.to_numpy(), n), "n": np.repeat(n, n), "s": np.concatenate(sets)})
 
+    crowd = nodes.select("node", F.transform("signature", lambda x: x.bitwiseAND(F.lit(255)).cast("short")).alias("sketch"))
     shingled = steps.written(nodes.select("node", "component", "text").mapInPandas(every, "node long, component long, n long, s long"), "shingles")
     often = shingled.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     # of each set the shingles that others have too, in order; those before them are its own alone
     shared = shingled.join(often, "s").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
     alone = F.col("n") - F.size("l")
     posted = shared.select("node", "component", "n", alone.alias("alone"), F.posexplode("l").alias("k", "x")).select("node", "component", "n", (F.col("alone") + F.col("k")).alias("i"), "x.s")
-    posted = steps.written(posted.where((F.col("n") - F.col("i")) * 100 >= percent * F.col("n")), "prefixes")
-    larger = posted.select("s", F.struct("n", "node").alias("p"), F.col("component").alias("cp"), (F.col("n") - F.col("i")).alias("rest_p"))
+    posted = posted.where((F.col("n") - F.col("i")) * 100 >= percent * F.col("n"))
+    posted = steps.written(posted.join(crowd, "node") if least else posted.withColumn("sketch", F.lit(None).cast("array<smallint>")), "prefixes")
+    larger = posted.select("s", F.struct("n", "node").alias("p"), F.col("component").alias("cp"), (F.col("n") - F.col("i")).alias("rest_p"), F.col("sketch").alias("sp"))
     smaller = posted.where((F.col("n") - F.col("i")) * (100 + percent) >= 2 * percent * F.col("n"))
-    smaller = smaller.select("s", F.struct("n", "node").alias("q"), F.col("component").alias("cq"), (F.col("n") - F.col("i")).alias("rest_q"))
+    smaller = smaller.select("s", F.struct("n", "node").alias("q"), F.col("component").alias("cq"), (F.col("n") - F.col("i")).alias("rest_q"), F.col("sketch").alias("sq"))
     fits = (F.col("q") < F.col("p")) & (F.col("cp") != F.col("cq")) & (100 * F.col("q.n") >= percent * F.col("p.n"))
     enough = (100 + percent) * F.least("rest_p", "rest_q") >= percent * (F.col("p.n") + F.col("q.n"))
-    return larger.join(smaller, "s").where(fits & enough).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    likely = fits & enough & (_agree("sp", "sq") >= least) if least else fits & enough
+    return larger.join(smaller, "s").where(likely).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+
+
+def _agree(p: str, q: str) -> F.Column:
+    """Number of places in which two arrays agree."""
+    return F.aggregate(F.zip_with(p, q, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def _alike(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that agree in `least` coordinates, and whose set sizes allow the similarity."""
-    a = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
+def _alike(pairs: DataFrame, classes: DataFrame, least: int, percent: int, steps: Steps) -> DataFrame:
+    """Of pairs (a, b) those that agree in `least` coordinates, and whose set sizes allow the similarity. As in
+    _confirmed, the classes of all a are a table of their own."""
+    pairs = steps.written(pairs, "met")
+    hubs = steps.written(classes.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node", "signature", "n_shingles"), "met-hubs")
+    a = hubs.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
     b = classes.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(same >= least).select("a", "b")
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(b, "b").join(a, "a").where(sizes & (_agree("sa", "sb") >= least)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
@@ -230,8 +235,9 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int, steps:
             a, b = (posted.join(many, "token", "left_anti").select("token", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
             pairs = a.join(b, "token").where("a < b and ca <> cb").select("a", "b").distinct()
             crowd = posted.join(many, "token", "left_semi").select("node", "component").distinct()
-            pairs = pairs.union(prefix_pairs(crowd.join(texts, "node"), size, percent, steps)).distinct()
-        pairs = _alike(pairs, classes, LEAST, percent)
+            crowd = crowd.join(texts, "node").join(classes.select("node", "signature"), "node")
+            pairs = pairs.union(prefix_pairs(crowd, size, percent, steps, LEAST)).distinct()
+        pairs = _alike(pairs, classes, LEAST, percent, steps)
         pairs = steps.written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
         tested = pairs.union(tested) if tested else pairs
         new = steps.written(_confirmed(pairs, texts, size, percent, steps), "links")
@@ -244,7 +250,7 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int, steps:
 def _all_links(docs: DataFrame, classes: DataFrame, size: int, percent: int, steps: Steps) -> DataFrame:
     """_links() without signatures."""
     texts = steps.bucketed(_texts(docs, classes, size), "node", "texts")
-    pairs = steps.written(prefix_pairs(texts.withColumn("component", F.col("node")), size, percent, steps), "pairs")
+    pairs = steps.written(prefix_pairs(texts.withColumns({"component": F.col("node"), "signature": F.lit(None).cast("array<int>")}), size, percent, steps), "pairs")
     return steps.written(components(steps.written(_confirmed(pairs, texts, size, percent, steps), "links"), steps), "components")
 
 

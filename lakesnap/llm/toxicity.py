@@ -61,7 +61,7 @@ class Lexicon:
         self._moves: list[dict[str, int]] = []
         self._sets: list[frozenset] = []
         self._start = self._state({(0, 0)})
-        self._memo = Memo("toxicity", MEMO)
+        self.looked_up = Memo("toxicity", MEMO, lambda w: self.find(w) or (), LONG)
         self._longest_stem, self._longest = max(map(len, self.stems), default=0), max(map(len, self.terms), default=0)
 
     def _state(self, positions: set[tuple[int, int]]) -> int:
@@ -113,21 +113,14 @@ class Lexicon:
         close = [(e, self._ends[n]) for n, e in self._sets[state] if n in self._ends and len(self._ends[n]) >= FUZZY_FROM]
         return ("fuzzy", min(close)[1]) if close else None
 
-    def looked_up(self, word: str) -> tuple[str, str] | None:
-        if word in self._memo:
-            return self._memo[word]
-        hit = self.find(word)
-        return self._memo.put(word, hit) if len(word) <= LONG else hit
-
 
 def features(lexicon: Lexicon, text: str | None) -> list[float]:
     """FEATURES of a text; all 0 without hits. Time is linear in the text."""
     low = (text or "").lower()
-    tokens, memo = WORD.findall(low), lexicon._memo
-    hits = [(k, w) for k, w in enumerate(tokens) if (memo[w] if w in memo else lexicon.looked_up(w))]
-    if not hits:
+    tokens = WORD.findall(low)
+    found = [(k, *hit) for k, hit in enumerate(map(lexicon.looked_up.__getitem__, tokens)) if hit]
+    if not found:
         return [0.0] * len(FEATURES)
-    found = [(k, *lexicon.looked_up(w)) for k, w in hits]
     kinds = Counter(kind for _, kind, _ in found)
     inside = _inside_quotes(low)
     at = [k for k, _, _ in found]
