@@ -1,26 +1,27 @@
 """Exact top-k by inner product over a bit-sliced index.
 
 Vectors are quantised to integers. A block of rows keeps, for each component and each bit of its upper bits, a bitmap
-over the rows (a slice). A query's weighted sum of components is added slice by slice with bitmap arithmetic: full
+over the rows (a slice); these are what the index stores, beside the quantised values. A query's weighted sum of components is added slice by slice with bitmap arithmetic: full
 adders take three bitmaps of one weight to one of that weight and one of the next, for all rows of a word at once. From
 the most significant slice of the sum downward, the k-th best sum is found; rows whose sum is within the quantisation's
-error of it form the boundary, and their scores are computed exactly.
+error of it form the boundary, which is resolved by exact scores; rows above it are sure, and scored for the report.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesnap.llm.common import written
+from lakesnap.llm.common import Steps
 
 #: Rows of an index block; queries of a query block; bits of a component that the slices leave out.
 ROWS, QUERIES, DROPPED = 1 << 15, 256, 3
-MOST = 100_000  # tasks
+#: Query blocks that go to an index block together; tasks at most.
+BUNDLE, MOST = 64, 100_000
+#: Products are summed in 64-bit integers: the length times the greatest |value| squared must stay below this.
+SUMS = 1 << 62
 
 
 def pack_bits(bits: np.ndarray) -> np.ndarray:
@@ -51,19 +52,31 @@ def digits(x: int) -> list[tuple[int, int]]:
 class Block:
     """The index of a block: slices of (component >> DROPPED) minus its least value in the block."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, slices: list[list[np.ndarray]] | None = None):
         self.ids, self.values = ids, values
         self.n = len(ids)
-        upper = values >> DROPPED
-        self.least = upper.min(0)
-        upper = upper - self.least
         self.ones = pack_bits(np.ones(self.n, bool))
-        self.slices: list[list[np.ndarray]] = []
-        for d in range(values.shape[1]):
-            self.slices.append([pack_bits((upper[:, d] >> b) & 1 == 1) for b in range(int(upper[:, d].max()).bit_length())])
+        self.slices = self.sliced(values) if slices is None else slices
         self.inverse = [[self.ones & ~s for s in x] for x in self.slices]
         self.spread = (1 << DROPPED) - 1
 
+    @staticmethod
+    def sliced(values: np.ndarray) -> list[list[np.ndarray]]:
+        """For each component its bitmaps, least significant bit first."""
+        upper = values >> DROPPED
+        upper = upper - upper.min(0)
+        return [[pack_bits((upper[:, d] >> b) & 1 == 1) for b in range(int(upper[:, d].max()).bit_length())] for d in range(values.shape[1])]
+
+    @staticmethod
+    def stored(slices: list[list[np.ndarray]]) -> tuple[bytes, bytes]:
+        """Bits of each component, and all bitmaps laid end to end."""
+        return bytes(len(x) for x in slices), b"".join(s.tobytes() for x in slices for s in x)
+
+    @staticmethod
+    def loaded(bits: bytes, bitmaps: bytes, n: int) -> list[list[np.ndarray]]:
+        every = iter(np.frombuffer(bitmaps, np.uint64).reshape(-1, -(-n // 64)))
+        return [[next(every) for _ in range(b)] for b in bits]
+
     def sums(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices, least significant first, of a number for each row: sum of query x upper components, plus the same
         constant for all rows. A subtracted slice enters as its inverse, which only shifts all rows alike."""
@@ -139,22 +152,43 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return vectors.where(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows dealt by a hash to blocks of about `size`: block, kind (of integer), dims, ids, values."""
-    n = rows.count()
-    blocks = max(1, -(-n // size))
+def _packed(rows: DataFrame, size: int, name: str, slices: bool, steps: Steps) -> tuple[DataFrame, int]:
+    """Rows dealt by a hash to blocks of about `size`: block, dims, kind (of integer), ids, values, and with slices bits
+    and bitmaps. Each block is a task's work of its own."""
+    blocks = max(1, -(-rows.count() // size))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         out = []
         for dims, some in pdf.groupby(pdf.v.map(len)):  # vectors of another length have another space
             values = np.stack(some.v.to_numpy()).astype(np.int64)
+            if dims * max(abs(int(values.min())), abs(int(values.max()))) ** 2 >= SUMS:
+                raise OverflowError("components are too large for 64-bit inner products")
             kind = next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= values.min() and values.max() <= np.iinfo(t).max)
-            out.append((int(pdf.block.iloc[0]), kind, dims, some.id.to_numpy(np.int64).tobytes(), values.astype(kind).tobytes()))
-        return pd.DataFrame(out, columns=["block", "kind", "dims", "ids", "values"])
+            bits, bitmaps = Block.stored(Block.sliced(values)) if slices else (b"", b"")
+            out.append((int(pdf.block.iloc[0]), dims, kind, some.id.to_numpy(np.int64).tobytes(), values.astype(kind).tobytes(), bits, bitmaps))
+        return pd.DataFrame(out, columns=["block", "dims", "kind", "ids", "values", "bits", "bitmaps"])
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(min(4 * blocks, MOST), "block")
+    return steps.written(dealt.groupBy("block").applyInPandas(one, "block int, dims int, kind string, ids binary, values binary, bits binary, bitmaps binary"), name), blocks
+
+
+def _values(ids: bytes, kind: str, values: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(values, kind).reshape(-1, dims).astype(np.int64)
+
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    return written(dealt.groupBy("block").applyInPandas(one, "block int, kind string, dims int, ids binary, values binary"), name), blocks
+def found_in(index: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, vec_id, score: the k best of an index block (a row of index) for each query in the rows of asked."""
+    out = []
+    for dims, kind, ids, values, bits, bitmaps in index[["dims", "kind", "ids", "values", "bits", "bitmaps"]].itertuples(index=False):
+        ids, values = _values(ids, kind, values, dims)
+        block = Block(ids, values, Block.loaded(bits, bitmaps, len(ids)))
+        for q_kind, q_ids, q_values in asked[["kind", "ids", "values"]].itertuples(index=False):
+            for own, q in zip(*_values(q_ids, q_kind, q_values, dims), strict=True):
+                found, scores = block.top(q, k, own)
+                out.append((np.full(len(found), own), found, scores))
+    parts = zip(*out, strict=True) if out else ([np.zeros(0, np.int64)],) * 3
+    return pd.DataFrame({n: np.concatenate(list(p)) for n, p in zip(("query_id", "vec_id", "score"), parts, strict=True)})
 
 
 def top_k(vectors: DataFrame, k: int = 10, scale: int = 1024, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -163,26 +197,25 @@ def top_k(vectors: DataFrame, k: int = 10, scale: int = 1024, every: int = 100,
 
     Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a null id. A row
     is no candidate of a query with its id. Rows that repeat an id and its vector are one; if an id has several vectors,
-    each is a candidate and the least is the query. Index blocks hold ROWS rows, query blocks QUERIES; each index block meets each query block once, and
-    what leaves a pair of blocks is k rows a query."""
-    rows = quantised(vectors, id_col, vector_col, scale).dropDuplicates(["id", "v"])
-    index, n_index = _packed(rows, ROWS, "index")
-    asked, n_asked = _packed(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), QUERIES, "queries")
-    asked = asked.select(F.col("block").alias("asked"), F.col("dims").alias("q_dims"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    pairs = index.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
-    pairs = pairs.join(asked, (pairs.asked == asked.asked) & (pairs.dims == asked.q_dims)).select("ids", "kind", "values", "dims", "q_ids", "q_kind", "q_values", F.xxhash64("block", pairs.asked).alias("deal"))
-    pairs = pairs.repartition(min(n_index * n_asked, MOST), "deal").drop("deal")  # about a pair a task
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, block = None, None
-        for pdf in batches:
-            for ids, kind, values, dims, q_ids, q_kind, q_values in pdf.itertuples(index=False):
-                if last is None or ids != last:
-                    last, block = ids, Block(np.frombuffer(ids, np.int64), np.frombuffer(values, kind).reshape(-1, dims).astype(np.int64))
-                for own, q in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q_values, q_kind).reshape(-1, dims).astype(np.int64), strict=True):
-                    found, scores = block.top(q, k, own)
-                    yield pd.DataFrame({"query_id": own, "vec_id": found, "score": scores})
-
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    each is a candidate and the least is the query. Components so large that an inner product might leave 64 bits are an
+    error.
+
+    Index blocks hold ROWS rows and their slices, query blocks QUERIES. An index block meets BUNDLE query blocks at a
+    time: it is sent once for each bundle, and queries, which are few and small, once for each index block. What leaves
+    is k rows a query and index block."""
+    with Steps(vectors.sparkSession) as steps:
+        rows = quantised(vectors, id_col, vector_col, scale).dropDuplicates(["id", "v"])
+        index, n_index = _packed(rows, ROWS, "index", True, steps)
+        asked, n_asked = _packed(rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), QUERIES, "queries", False, steps)
+        bundles = -(-n_asked // BUNDLE)
+        n, by = min(4 * n_index * bundles, MOST), ("block", "dims", "bundle")
+        left = index.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1)))).repartition(n, *by)
+        right = asked.withColumn("bundle", F.pmod("block", F.lit(bundles))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1)))).repartition(n, *by)
+
+        def search(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+            return found_in(block, some, k)
+
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score long")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return steps.result(found.select("query_id", "rank", "vec_id", "score"), "top-k")

@@ -7,21 +7,25 @@ backwards, and full lists pruned again. All of it runs for many vectors at once.
 the mean and follows the `beam` nearest found so far until none is left to follow.
 
 Equal vectors are one node: its rows are reported by id, so only the smallest ids can be, and those are kept.
+
+Distances are sums of products in double precision, of vectors that have been scaled by a power of two and moved by the
+shard's mean: a large common offset, or vectors that are very large or small, cost no digits. Scores are taken from the
+vectors as they came.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesnap.llm.common import written
+from lakesnap.llm.common import Steps, partitions
 
 #: Nodes of a shard; queries of a block; tasks at most.
 SHARD, QUERIES, MOST = 1 << 13, 256, 100_000
+#: Query blocks that go to a shard's graph together.
+BUNDLE = 64
 DEGREE, BEAM_BUILD, BEAM, RELAX = 40, 64, 160, 1.2
 BATCH, AHEAD = 256, 4
 
@@ -31,6 +35,11 @@ def _distances(x: np.ndarray, sq: np.ndarray, ids: np.ndarray, q: np.ndarray, qq
     return np.maximum(sq[ids] + qq[:, None] - 2 * np.matmul(x[ids], q[:, :, None])[:, :, 0], 0)
 
 
+def scale_of(x: np.ndarray) -> float:
+    """A power of two that brings the largest component near 1."""
+    return 2.0 ** -np.clip(np.frexp(np.abs(x).max(initial=0))[1], -1000, 1000)
+
+
 def beam_search(x: np.ndarray, sq: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the nodes of its beam (-1: none) and their squared distances, nearest first."""
     b, n = len(q), len(x)
@@ -150,12 +159,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
 
 
-def index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """A row for each shard and length of vectors: shard, dims, start, members (offsets), ids, vectors, graph; and the number of shards."""
+def index(rows: DataFrame, k: int, steps: Steps, shard: int = SHARD) -> tuple[DataFrame, int]:
+    """A row for each shard and length of vectors: shard, dims, start, scale, mean, ends (of the ids of a node), ids,
+    vectors, graph; and the number of shards. Each shard is a task's work of its own."""
     equal = Window.partitionBy("v").orderBy("id")
     nodes = rows.dropDuplicates(["id", "v"]).withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1)
     nodes = nodes.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 at most
-    nodes = written(nodes, "nodes")
+    nodes = steps.written(nodes, "nodes")
     shards = max(1, -(-nodes.count() // shard))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,13 +173,46 @@ def index(rows: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFrame, int]:
         out = []
         for dims, some in pdf.groupby(pdf.v.map(len)):
             x = np.stack(some.v.to_numpy()).astype(np.float64)
-            graph, start = build(x.astype(np.float32))
+            scale = scale_of(x)
+            mean = (x * scale).mean(0)
+            graph, start = build(x * scale - mean)
             ends = np.cumsum(some.ids.map(len).to_numpy(np.int64))
-            out.append((int(pdf.shard.iloc[0]), dims, start, ends.tobytes(), np.concatenate(some.ids.to_list()).astype(np.int64).tobytes(), x.tobytes(), graph.astype(np.int32).tobytes()))
-        return pd.DataFrame(out, columns=["shard", "dims", "start", "ends", "ids", "vectors", "graph"])
-
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int"))
-    return written(dealt.groupBy("shard").applyInPandas(one, "shard int, dims int, start int, ends binary, ids binary, vectors binary, graph binary"), "graphs"), shards
+            ids = np.concatenate(some.ids.to_list()).astype(np.int64)
+            out.append((int(pdf.shard.iloc[0]), dims, start, scale, mean.tobytes(), ends.tobytes(), ids.tobytes(), x.tobytes(), graph.astype(np.int32).tobytes()))
+        return pd.DataFrame(out, columns=["shard", "dims", "start", "scale", "mean", "ends", "ids", "vectors", "graph"])
+
+    # a number of partitions is not coalesced by bytes: a shard has few of those, and much work
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int")).repartition(min(4 * shards, MOST), "shard")
+    schema = "shard int, dims int, start int, scale double, mean binary, ends binary, ids binary, vectors binary, graph binary"
+    return steps.written(dealt.groupBy("shard").applyInPandas(one, schema), "graphs"), shards
+
+
+def found_in(pdf: pd.DataFrame, asked: pd.DataFrame, k: int, beam: int) -> pd.DataFrame:
+    """query_id, vec_id, score: the k best of one graph (a row of pdf) for each query of asked (rows q_ids, q_vectors)."""
+    out = []
+    for dims, start, scale, mean, ends, ids, x, graph in pdf[["dims", "start", "scale", "mean", "ends", "ids", "vectors", "graph"]].itertuples(index=False):
+        x = np.frombuffer(x).reshape(-1, dims)
+        ends, ids = np.frombuffer(ends, np.int64), np.frombuffer(ids, np.int64)
+        mean, graph = np.frombuffer(mean), np.frombuffer(graph, np.int32).reshape(len(x), -1)
+        near, firsts = x * scale - mean, np.r_[0, ends[:-1]]
+        sq = (near * near).sum(1)
+        for q_ids, q in zip(asked.q_ids, asked.q_vectors, strict=True):
+            q = np.frombuffer(q).reshape(-1, dims)
+            with np.errstate(over="ignore", invalid="ignore"):
+                found, _ = beam_search(near, sq, graph, start, np.nan_to_num(q * scale - mean, posinf=1e150, neginf=-1e150).clip(-1e150, 1e150), beam)
+            for own, v, nodes in zip(np.frombuffer(q_ids, np.int64).tolist(), q, found, strict=True):
+                nodes = nodes[nodes >= 0]
+                with np.errstate(over="ignore"):
+                    score = np.sqrt(((x[nodes] - v) ** 2).sum(1))
+                size = ends[nodes] - firsts[nodes]
+                rows = np.repeat(firsts[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                row_ids, score = ids[rows], np.repeat(score, size)
+                other = row_ids != own
+                row_ids, score = row_ids[other], score[other]
+                best = np.lexsort((row_ids, score))[:k]
+                out.append((np.full(len(best), own), row_ids[best], score[best]))
+    parts = zip(*out, strict=True) if out else ([np.zeros(0)],) * 3
+    return pd.DataFrame({n: np.concatenate(list(p)) for n, p in zip(("query_id", "vec_id", "score"), parts, strict=True)})
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM) -> DataFrame:
@@ -178,41 +221,33 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids. Rows that
     repeat an id and its vector are one; if an id has several vectors, the least is the query, and the id is reported
-    once, by its nearest. Every shard's graph is searched for every query."""
-    rows = usable(vectors, id_col, vector_col)
-    graphs, shards = index(rows, k)
-    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // QUERIES))
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(int(pdf.asked.iloc[0]), dims, some.id.to_numpy(np.int64).tobytes(), np.stack(some.v.to_numpy()).astype(np.float64).tobytes()) for dims, some in pdf.groupby(pdf.v.map(len))]
-        return pd.DataFrame(out, columns=["asked", "dims", "q_ids", "q_vectors"])
-
-    asked = asked.withColumn("asked", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("asked").applyInPandas(packed, "asked int, dims int, q_ids binary, q_vectors binary")
-    asked = written(asked, "queries")
-    pairs = graphs.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, ["asked", "dims"])
-    pairs = pairs.withColumn("deal", F.xxhash64("shard", "asked")).repartition(min(shards * blocks, MOST), "deal").select("dims", "start", "ends", "ids", "vectors", "graph", "q_ids", "q_vectors")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for dims, start, ends, ids, x, graph, q_ids, q in pdf.itertuples(index=False):
-                x, q = np.frombuffer(x).reshape(-1, dims), np.frombuffer(q).reshape(-1, dims)
-                ends, ids, q_ids = (np.frombuffer(a, np.int64) for a in (ends, ids, q_ids))
-                small = x.astype(np.float32)
-                found, _ = beam_search(small, (small * small).sum(1), np.frombuffer(graph, np.int32).reshape(len(x), -1), start, q.astype(np.float32), beam)
-                firsts = np.r_[0, ends[:-1]]
-                for own, v, nodes in zip(q_ids.tolist(), q, found, strict=True):
-                    nodes = nodes[nodes >= 0]
-                    score = np.sqrt(((x[nodes] - v) ** 2).sum(1))
-                    size = ends[nodes] - firsts[nodes]
-                    rows = np.repeat(firsts[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    row_ids, score = ids[rows], np.repeat(score, size)
-                    other = row_ids != own
-                    row_ids, score = row_ids[other], score[other]
-                    best = np.lexsort((row_ids, score))[:k]
-                    yield pd.DataFrame({"query_id": own, "vec_id": row_ids[best], "score": score[best]})
-
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once, by its nearest. Every shard's graph is searched for every query.
+
+    A shard's graph meets BUNDLE blocks of queries at a time: it is sent once for each bundle, and queries, which are
+    few and small, once for each shard. What leaves is k rows a query and shard."""
+    spark = vectors.sparkSession
+    with Steps(spark) as steps:
+        rows = usable(vectors, id_col, vector_col)
+        graphs, shards = index(rows, k, steps)
+        asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
+        blocks = max(1, -(-asked.count() // QUERIES))
+
+        def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = [(int(pdf.asked.iloc[0]), dims, some.id.to_numpy(np.int64).tobytes(), np.stack(some.v.to_numpy()).astype(np.float64).tobytes()) for dims, some in pdf.groupby(pdf.v.map(len))]
+            return pd.DataFrame(out, columns=["asked", "dims", "q_ids", "q_vectors"])
+
+        asked = asked.withColumn("asked", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(min(blocks, partitions(spark)), "asked")
+        asked = steps.written(asked.groupBy("asked").applyInPandas(packed, "asked int, dims int, q_ids binary, q_vectors binary"), "queries")
+        bundles = -(-blocks // BUNDLE)
+        n = min(4 * shards * bundles, MOST)
+        left = graphs.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1)))).repartition(n, "shard", "dims", "bundle")
+        right = asked.withColumn("bundle", F.pmod("asked", F.lit(bundles))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(n, "shard", "dims", "bundle")
+
+        def search(graph: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+            return found_in(graph, some, k, beam)
+
+        by = ("shard", "dims", "bundle")
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
+        best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(best))
+        return steps.result(found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")

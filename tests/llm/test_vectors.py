@@ -72,3 +72,35 @@ def test_recall_over_shards(spark, monkeypatch):
     got = {(r.query_id, r.vec_id) for r in graph.nearest(df).collect()}
     assert len(got) == len(want) == 200
     assert len(got & want) >= 190
+
+
+@pytest.mark.parametrize(("name", "factor", "offset", "spread"), [("far", 1.0, 1e4, 0.0), ("further", 1.0, 2e4, 0.0), ("large", 1e20, 0.0, 0.0), ("small", 1e-20, 0.0, 0.0), ("huge", 1e150, 0.0, 0.0), ("tight", 1.0, 0.0, 1e-4)])
+def test_recall_does_not_hang_on_scale_and_place(spark, monkeypatch, name, factor, offset, spread):
+    monkeypatch.setattr(graph, "SHARD", 700)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 16))
+    if spread:
+        x = rng.normal(size=(20, 16))[rng.integers(0, 20, 2000)] + spread * x
+    x = (x + offset) * factor
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in graph.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q in range(0, 2000, 100):
+        d = np.sqrt((((x - x[q]) / factor) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hit >= 0.95 * 200, name
+
+
+def test_stored_slices_and_too_large_components(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(-5000, 5000, (130, 5))
+    values[:, 2] = 7
+    slices = bitslice.Block.sliced(values)
+    back = bitslice.Block.loaded(*bitslice.Block.stored(slices), len(values))
+    assert [len(x) for x in back] == [len(x) for x in slices] and all((a == b).all() for x, y in zip(slices, back, strict=True) for a, b in zip(x, y, strict=True))
+    df = spark.createDataFrame([(0, [1e16, 1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        bitslice.top_k(df)
