@@ -1,17 +1,17 @@
 """Longest-previous-factor dedup: removes what also stands earlier in the corpus, and keeps the first.
 
-Within one block of text, suffixes are sorted, and for each one the next smaller position on either side of it in
-suffix order gives its longest earlier match (`previous_factors`). Over a corpus the blocks are made so that every two
-equal strings of `span` bytes share one:
-
-* Every window of `span` bytes has an anchor, the least-hashed of its GRAM-byte strings, which its bytes alone decide.
-  Consecutive windows with one anchor form a *run*. Equal windows have equal anchor strings.
-* Runs are dealt by anchor string. Of runs equal as a whole, only the first goes on; the others are removed.
-* Where different runs share an anchor string, their bytes form a block, in position order, and the suffix order of
-  the block tells which windows have an earlier equal. It is only refined where suffixes still tie, and no deeper than
-  `span`: suffixes that tie there are in position order, so the next smaller position is the left neighbour.
-* Anchor strings with more than HOT runs (text that very many documents share) are not brought together: their windows
-  are aggregated by a 128-bit hash to their first position, which gives the same result.
+Blocks of text are made so that every two equal strings of `span` bytes share one; within a block, windows of `span`
+bytes are put in suffix order, and from the previous and the next smaller position in that order comes the longest match
+of each one with anything earlier (`previous_factors`). Windows with a match of `span` bytes are removed.
+
+* Every window has an anchor, the least-hashed of its GRAM-byte strings, which its bytes alone decide. Consecutive
+  windows with one anchor form a *run*. Equal windows have equal anchor strings.
+* Runs are dealt by anchor string. Of runs equal as a whole, only the first goes on; the others are removed: they are
+  the later copies of a longer match, found by a hash of their content.
+* Where different runs share an anchor string, their bytes go into a block, in position order.
+* Anchor strings that very many texts share are spread by content as well, and those with more than HOT runs that differ
+  are not brought together at all: their windows are aggregated by a 128-bit hash to their first position, which gives
+  the same result. Which strings are spread is found on a part of the documents, and changes no result.
 """
 
 from __future__ import annotations
@@ -25,48 +25,61 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesnap.llm.common import partitions, written
+from lakesnap.llm.common import Steps, claim, small_batches
 
 GRAM = 16
-#: Runs of one anchor string that are brought together; bytes of a block; bytes that are hashed at a time.
-HOT, BLOCK, STEP = 20_000, 4 << 20, 1 << 19
+#: Runs of one anchor string that are brought together; bytes of a block; bytes that are hashed at a time; tasks at most.
+HOT, BLOCK, STEP, MOST = 10_000, 2 << 20, 1 << 19, 100_000
+#: Anchor strings that are spread at most: those met most often, OFTEN times at least, in one of PART documents.
+HEAVY, OFTEN, PART = 1 << 16, 8, 32
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def suffix_array(text: bytes) -> np.ndarray:
-    """By prefix doubling."""
-    rank = np.frombuffer(text, np.uint8).astype(np.int64) + 1
-    n, k = len(rank), 1
-    while n:
-        key = rank * (n + 257) + np.r_[rank[k:], np.zeros(min(k, n), np.int64)]
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])] + 1
-        rank, k = new, 2 * k
-        if rank.max() == n or k >= 2 * n:
-            return order
-    return np.zeros(0, np.int64)
-
-
-def previous_factors(text: bytes) -> np.ndarray:
-    """For each position the length of the longest match that starts earlier (matches may overlap)."""
-    order, n = suffix_array(text), len(text)
-    out = np.zeros(n, np.int64)
-    before, after = {}, {}
-    for seq, to in ((order.tolist(), before), (order.tolist()[::-1], after)):
-        stack: list[int] = []
-        for p in seq:
-            while stack and stack[-1] > p:
-                stack.pop()
-            to[p] = stack[-1] if stack else -1
-            stack.append(p)
-    for p in range(n):
-        for q in (before[p], after[p]):
-            if q >= 0:
-                k = 0
-                while p + k < n and text[p + k] == text[q + k]:
-                    k += 1
-                out[p] = max(out[p], k)
+def suffix_order(raw: bytes, starts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of `span` bytes at starts in the order of their bytes, equal ones in the order given; and of each the
+    number of bytes that it has in common with the one before it. Eight bytes at a time, only where windows still tie."""
+    at = np.ndarray((len(raw) + 1,), ">u8", raw + b"\0" * 8, 0, (1,))
+    order, common = np.arange(len(starts)), np.zeros(len(starts), np.int32)
+    slot, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    for k in range(0, span if len(starts) else 0, 8):
+        k = max(0, min(k, span - 8))
+        key = at[starts[order[slot]] + k].astype(np.uint64)
+        if span < 8:
+            key >>= np.uint64(64 - 8 * span)
+        by = np.lexsort((key, group))  # stable, and groups are in order already
+        order[slot], key = order[slot][by], key[by]
+        same = group[1:] == group[:-1]
+        x = key[1:] ^ key[:-1]
+        tie, new = same & (x == 0), same & (x != 0)
+        x = x[new]
+        common[slot[1:][new]] = k + sum((x < np.uint64(1 << 8 * j)).astype(np.int32) for j in range(1, 8)) - (8 - min(8, span))
+        keep = np.r_[False, tie] | np.r_[tie, False]
+        slot, group, tied = slot[keep], np.r_[0, np.cumsum(~tie)][keep], np.r_[False, tie][keep]
+        if not len(slot):
+            return order, common
+    if len(starts):
+        common[slot[tied]] = span
+    return order, common
+
+
+def previous_factors(order: np.ndarray, common: np.ndarray, position: np.ndarray, wanted: int = 0) -> np.ndarray:
+    """For each string the longest match with one of a smaller position, from suffix order: that with the nearest smaller
+    position on either side. Matches shorter than `wanted` may come out as 0. All strings jump at once, each over what
+    its candidate has jumped over, so there are about log n rounds."""
+    out = np.zeros(len(order), np.int32)
+    for p, length, to in ((position[order], common, order), (position[order][::-1], np.r_[common[1:], 0][::-1][: len(order)], order[::-1])):
+        before, least = np.arange(len(p)) - 1, length.copy()
+        least[before < 0] = 0
+        before[least < max(wanted, 1)] = -1
+        todo = np.flatnonzero(before >= 0)
+        todo = todo[p[before[todo]] >= p[todo]]
+        while len(todo):
+            over = before[todo]
+            least[todo] = np.minimum(least[todo], least[over])
+            before[todo] = np.where(least[todo] < max(wanted, 1), -1, before[over])
+            todo = todo[before[todo] >= 0]
+            todo = todo[p[before[todo]] >= p[todo]]
+        out[to] = np.maximum(out[to], np.where(before >= 0, least, 0))
     return out
 
 
@@ -140,13 +153,13 @@ def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[at], b[np.r_[at[1:] - 1, len(b) - 1]] if len(at) else b
 
 
-def _pieces(pdf: pd.DataFrame) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def _pieces(pdf: pd.DataFrame, span: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """Documents in id order, long ones in overlapping parts, about STEP bytes at a time: ids, offsets, bytes."""
     ids, offsets, raw, held = [], [], [], 0
     for doc, text in sorted(zip(pdf.doc_id.tolist(), pdf.text, strict=True), key=lambda r: r[0]):
         data = (text or "").encode("utf-8", "surrogatepass")
-        for k in range(0, max(1, len(data) - _pieces.span + 1), STEP):
-            part = data[k : k + STEP + _pieces.span - 1]
+        for k in range(0, max(1, len(data) - span + 1), STEP):
+            part = data[k : k + STEP + span - 1]
             ids.append(doc)
             offsets.append(k)
             raw.append(part)
@@ -158,14 +171,16 @@ def _pieces(pdf: pd.DataFrame) -> Iterator[tuple[list[int], list[int], list[byte
         yield ids, offsets, raw
 
 
-def found_runs(docs: DataFrame, span: int) -> DataFrame:
-    """kind, k, c, doc_id, p0, p1: the distinct runs of each part of the input (kind 0: anchor string k, content c),
-    and the byte intervals that a part's own earlier text removes (kind 1; k spreads them)."""
+def found_runs(docs: DataFrame, span: int, heavy: np.ndarray) -> DataFrame:
+    """kind, k, c, doc_id, p0, p1: the distinct runs of each part of the input (kind 0, or 2 for those of heavy: anchor
+    string k, content c), and the byte intervals that a part's own earlier text removes (kind 1; k spreads them)."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(heavy))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _pieces.span = span
+        claim("lpf")
+        often = shared.value
         for pdf in batches:
-            for ids, offsets, raw in _pieces(pdf):
+            for ids, offsets, raw in _pieces(pdf, span):
                 ends = np.cumsum([len(x) for x in raw])
                 p0, p1, k, c = runs(b"".join(raw), ends, span)
                 if not len(p0):
@@ -179,7 +194,8 @@ def found_runs(docs: DataFrame, span: int) -> DataFrame:
                 head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
                 later = (doc[order] != doc[order[head]]) | (a[order] != a[order[head]])
                 keep, gone = order[~same], order[same & later]
-                yield pd.DataFrame({"kind": np.int8(0), "k": k[keep], "c": c[keep], "doc_id": doc[keep], "p0": a[keep], "p1": b[keep]})
+                kind = 2 * np.isin(k[keep], often).astype(np.int8)
+                yield pd.DataFrame({"kind": kind, "k": k[keep], "c": c[keep], "doc_id": doc[keep], "p0": a[keep], "p1": b[keep]})
                 if len(gone):
                     # intervals of one document, joined
                     _, row = np.unique(doc[gone], return_inverse=True)
@@ -192,32 +208,22 @@ def found_runs(docs: DataFrame, span: int) -> DataFrame:
     return docs.where("doc_id is not null and octet_length(text) >= %d" % span).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, "kind byte, k long, c long, doc_id long, p0 long, p1 long")
 
 
+def heavy_anchors(docs: DataFrame, span: int) -> np.ndarray:
+    """Anchor strings that many texts share, from one of PART documents: a few numbers, and a matter of speed alone."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0)
+    often = found_runs(some, span, np.zeros(0, np.int64)).where("kind = 0").groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    return often.orderBy(F.desc("n"), "k").limit(HEAVY).select("k").toArrow()["k"].to_numpy()
+
+
 def repeated_windows(raw: bytes, starts: np.ndarray, doc: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
-    """Which of the windows of `span` bytes at starts (positions doc, at; in ascending order) have an earlier equal."""
-    padded = raw + b"\0" * 8
-    group = np.zeros(len(starts), np.int64)
-    live = np.arange(len(starts))
-    for k in range(0, span, 8):
-        k = min(k, span - 8)
-        key = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))[starts[live] + k].astype(np.uint64)
-        order = np.lexsort((key, group))  # stable: ties stay in position order
-        key, g = key[order], group[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (g[1:] != g[:-1])]
-        single = new & np.r_[new[1:], True]
-        live = live[order][~single]
-        group = np.cumsum(new)[~single]
-        if not len(live):
-            break
-        back = np.argsort(live, kind="stable")
-        live, group = live[back], group[back]
-    out = np.zeros(len(starts), bool)
-    if len(live):
-        order = np.argsort(group, kind="stable")
-        live, group = live[order], group[order]
-        head = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(group)), 0))
-        first = live[head]
-        out[live] = (doc[live] != doc[first]) | (at[live] != at[first])
-    return out
+    """Which of the windows of `span` bytes at starts (positions doc, at) have an earlier equal."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    position = np.arange(len(starts))
+    if not ((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (at[1:] > at[:-1]))).all():  # rows of one doc_id
+        by = np.lexsort((at, doc))
+        position[by] = np.r_[0, np.cumsum((np.diff(doc[by]) != 0) | (np.diff(at[by]) != 0))]
+    return previous_factors(*suffix_order(raw, starts, span), position, span) >= span
 
 
 def _windows(pdf: pd.DataFrame, span: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,16 +244,17 @@ def _intervals(doc: np.ndarray, at: np.ndarray, span: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[head], "p0": at[head], "p1": at[tail] + span})
 
 
-def removed(docs: DataFrame, span: int = 100) -> DataFrame:
+def removed(docs: DataFrame, span: int, steps: Steps) -> DataFrame:
     """doc_id, p0, p1: byte intervals, possibly overlapping, covered by a string of `span` bytes that also starts earlier."""
-    spark = docs.sparkSession
-    every = found_runs(docs, span)
-    same, anchor = Window.partitionBy("kind", "k", "c").orderBy("doc_id", "p0"), Window.partitionBy("kind", "k")
+    every = found_runs(docs, span, heavy_anchors(docs, span))
+    # one shuffle serves both windows: by anchor string, and for those that many texts share by content too
+    every = every.withColumn("part", F.when(F.col("kind") == 2, F.col("c")).otherwise(F.lit(0)))
+    same, anchor = Window.partitionBy("kind", "k", "part", "c").orderBy("doc_id", "p0"), Window.partitionBy("kind", "k", "part")
     every = every.withColumn("first", F.first(F.struct("doc_id", "p0")).over(same.rowsBetween(Window.unboundedPreceding, 0)))
     every = every.withColumn("later", (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.p0") != F.col("p0"))).drop("first")
-    every = every.withColumn("mixed", F.min("c").over(anchor) != F.max("c").over(anchor))
+    every = every.withColumn("mixed", (F.min("c").over(anchor) != F.max("c").over(anchor)) | (F.col("kind") == 2))
     what = F.when(F.col("kind") == 1, 1).when(F.col("later"), 2).when(F.col("mixed"), 3)
-    every = written(every.select(what.alias("what"), "k", "doc_id", "p0", "p1").where("what is not null"), "runs")
+    every = steps.written(every.select(what.alias("what"), "k", "doc_id", "p0", "p1").where("what is not null"), "runs")
     whole = every.where("what < 3").select("doc_id", "p0", F.when(F.col("what") == 1, F.col("p1")).otherwise(F.col("p1") + (span - 1)).alias("p1"))
 
     open_runs = every.where("what = 3")
@@ -256,6 +263,7 @@ def removed(docs: DataFrame, span: int = 100) -> DataFrame:
     per_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("k", "p0", "p1", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("lpf")
         for pdf in batches:
             out = []
             for doc, text, own in zip(pdf.doc_id, pdf.text, pdf.runs, strict=True):
@@ -265,7 +273,7 @@ def removed(docs: DataFrame, span: int = 100) -> DataFrame:
                 yield pd.DataFrame(out, columns=["k", "hot", "doc_id", "p0", "bytes"])
 
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per_doc, "doc_id")
-    bodies = written(texts.mapInPandas(cut, "k long, hot boolean, doc_id long, p0 long, bytes binary"), "bodies")
+    bodies = steps.written(texts.mapInPandas(cut, "k long, hot boolean, doc_id long, p0 long, bytes binary"), "bodies")
     size = bodies.where("not hot").agg(F.sum(F.length("bytes"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
 
@@ -274,9 +282,11 @@ def removed(docs: DataFrame, span: int = 100) -> DataFrame:
         hit = repeated_windows(raw, starts, doc, at, span)
         return _intervals(doc[hit], at[hit], span)
 
-    cold = bodies.where("not hot").groupBy(F.pmod(F.xxhash64("k"), F.lit(blocks)).alias("block")).applyInPandas(in_block, "doc_id long, p0 long, p1 long")
+    dealt = bodies.where("not hot").withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks))).repartition(min(blocks, MOST), "block")
+    cold = dealt.groupBy("block").applyInPandas(in_block, "doc_id long, p0 long, p1 long")
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("lpf")
         for pdf in batches:
             raw, starts, doc, at = _windows(pdf, span)
             h = [xxhash.xxh3_128_digest(raw[s : s + span]) for s in starts.tolist()]
@@ -306,9 +316,13 @@ def repeats_removed(docs: DataFrame, span: int = 100) -> DataFrame:
     document. Null texts count as empty. Rows with a null doc_id take no part and stay whole. Rows that repeat a doc_id
     and its text are one document and get one result; should the texts of a doc_id differ, what is removed from either
     is removed from both, by position. Columns other than doc_id and text are not read."""
-    gone = removed(docs, span).groupBy("doc_id").agg(F.collect_list(F.struct("p0", "p1")).alias("gone"))  # as long as its document
+    small_batches(docs.sparkSession)
+    with Steps(docs.sparkSession) as steps:
+        gone = removed(docs, span, steps).groupBy("doc_id").agg(F.collect_list(F.struct("p0", "p1")).alias("gone"))  # as long as its document
+        gone = steps.result(gone, "removed")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("lpf")
         for pdf in batches:
             out = [cut_out(t, g) for t, g in zip(pdf.text, pdf.gone, strict=True)]
             yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "n_bytes": [r[0] for r in out], "n_removed": [r[1] for r in out], "n_spans": [r[2] for r in out], "kept_sha256": [hashlib.sha256(r[3]).hexdigest() for r in out], "kept": [r[3] for r in out]})

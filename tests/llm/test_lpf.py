@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lakesnap.llm import lpf
@@ -44,6 +45,9 @@ def corpus(seed, span):
 def test_equals_brute_force(spark, monkeypatch, hot, step):
     monkeypatch.setattr(lpf, "HOT", hot)
     monkeypatch.setattr(lpf, "STEP", step)
+    if hot == 3:
+        monkeypatch.setattr(lpf, "OFTEN", 2)
+        monkeypatch.setattr(lpf, "PART", 2)
     for seed, span in ((1, 100), (2, 24)):
         rows = corpus(seed, span)
         df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, k int").repartition(3)
@@ -54,7 +58,21 @@ def test_equals_brute_force(spark, monkeypatch, hot, step):
 
 def test_previous_factors():
     rnd = random.Random(1)
-    for _ in range(30):
-        t = bytes(rnd.choices(b"ab", k=rnd.randint(0, 60)))
-        want = [max([0, *(next((k for k in range(len(t) - p + 1) if p + k == len(t) or t[p + k] != t[q + k]), 0) for q in range(p))]) for p in range(len(t))]
-        assert lpf.previous_factors(t).tolist() == want
+    for trial in range(60):
+        t = bytes(rnd.choices(b"ab" if trial % 2 else b"a", k=rnd.randint(0, 60)))
+        n = len(t)
+        want = [max([0, *(next((k for k in range(n - p + 1) if p + k == n or t[p + k] != t[q + k]), 0) for q in range(p))]) for p in range(n)]
+        raw, starts = t + bytes(range(100, 164)), np.arange(n)  # what follows differs everywhere, so matches end where t does
+        order, common = lpf.suffix_order(raw, starts, 64)
+        assert [raw[s : s + 64] for s in order] == sorted(raw[s : s + 64] for s in starts)
+        assert lpf.previous_factors(order, common, starts).tolist() == want
+        for span in (3, 8, 11):
+            got = lpf.previous_factors(*lpf.suffix_order(raw, starts, span), starts, span)
+            assert [x >= span for x in got] == [x >= span for x in want]
+
+
+def test_repeated_windows_of_repeated_rows():
+    raw, starts = b"abcdabcdabcd", np.array([0, 4, 8])
+    doc, at = np.array([1, 1, 2]), np.array([0, 0, 5])
+    assert lpf.repeated_windows(raw, starts, doc, at, 4).tolist() == [False, False, True]
+    assert lpf.repeated_windows(b"", starts[:0], doc[:0], at[:0], 4).tolist() == []
