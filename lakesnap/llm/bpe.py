@@ -17,16 +17,16 @@ Normalisation and pre-tokenisation are the library's own; the merges, and the de
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,9 @@ from lakesnap.llm.common import Cache, Memo, claim, small_batches
 STEP = 1 << 16
 END = "\0"  # stands for the end-of-word suffix, attached to the last symbol
 #: Bytes of the memos of pieces, of words and of token pairs, which only save time; characters of what enters them.
-PIECES, WORDS, PAIRS, LONG = 112 << 20, 32 << 20, 24 << 20, 64
+PIECES, WORDS, PAIRS, LONG = 128 << 20, 32 << 20, 24 << 20, 64
+#: Characters at the start of a word whose walk is kept, and bytes of that memo.
+HEAD, HEADS = 4, 8 << 20
 #: Pieces of a text whose ids are put together at a time.
 MANY = 1 << 13
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -63,23 +65,25 @@ class Transducer:
         # A token counts if merging its own symbols gives it back; others never come out.
         self.tokens = {t for t in self.ids if len(t) == 1 or (len(t) == 2 and t[1] == END) or self._own_merge(t)}
         self.max_len = max(map(len, self.tokens), default=1)
-        # the automaton over all tokens: state 0 is the empty text, others the beginnings of tokens; made as it is met
+        # the automaton over all tokens: a node is (next nodes by symbol, tokens that end here, the beginning of a token
+        # that it stands for); nodes are made as they are met
         self._starts = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
-        self._go, self._states, self._names, self._ends = Cache("bpe"), {"": 0}, [""], [()]
+        self._root = ({}, (), "")
+        self._nodes = {"": self._root}
         self._holds = Memo("bpe", PAIRS, lambda uv: self.borders_hold(*uv))
+        self._heads = Memo("bpe", HEADS, self._head)
         self.lookahead = self.sufficient_lookahead()
 
-    def _next(self, state: int, symbol: str) -> int:
-        """The longest end of (state, symbol) that a token begins with, and the tokens that end there, longest first."""
-        text = self._names[state] + symbol
+    def _next(self, node: tuple, symbol: str) -> tuple:
+        """The node of the longest end of (node, symbol) that a token begins with; its tokens, longest first."""
+        text = node[2] + symbol
         while text and text not in self._starts:
             text = text[1:]
-        if text not in self._states:
-            self._states[text] = len(self._names)
-            self._names.append(text)
+        if text not in self._nodes:
             ends = (text[k:] for k in range(len(text)))
-            self._ends.append(tuple((t, len(t)) for t in ends if t in self.tokens and t != END))
-        return self._states[text]
+            self._nodes[text] = ({}, tuple((t, len(t)) for t in ends if t in self.tokens and t != END), text)
+        node[0][symbol] = to = self._nodes[text]
+        return to
 
     def _own_merge(self, t: str) -> bool:
         return t in self.made and self.plain(t) == [t]
@@ -132,39 +136,50 @@ class Transducer:
                 return out
             until, t = self.made[t][0], self.made[t][side]
 
-    def window(self, symbols: list[str]) -> list[str]:
-        """Tokens of a string no longer than the window of encode(), which then emits nothing before its end."""
-        last, n, state = [""], 0, 0
-        go, ends, holds = self._go, self._ends, self._holds
+    def _walk(self, symbols: Iterable[str], last: list, node: tuple) -> tuple:
+        """Puts the last token of each further prefix on last; the node reached."""
+        holds, put = self._holds, last.append
         for s in symbols:
-            n += len(s)
-            if len(s) > 1:
-                last.append(None)
-            key = state, s
-            state = go.get(key)
-            if state is None:
-                state = go[key] = self._next(*key)
-            for t, k in ends[state]:
-                if (before := last[n - k]) is not None and (not before or holds[before, t]):
-                    last.append(t)
+            to = node[0].get(s)
+            node = self._next(node, s) if to is None else to
+            for t, k in node[1]:
+                before = last[-k]
+                if not before or holds[before, t]:
+                    put(t)
                     break
             else:
-                last.append(s)
-        return self._chain(last, n)
+                put(s)
+        return node
+
+    def _head(self, text: str) -> tuple[list, tuple]:
+        last = [""]
+        return last, self._walk(text, last, self._root)
+
+    def window(self, word: str, suffix: bool) -> list[str]:
+        """Tokens of a word (its last symbol with END, if suffix) that is no longer than the window of encode(), which
+        then emits nothing before its end. What words begin with is kept."""
+        k = min(HEAD, len(word) - 1)
+        last, node = self._heads[word[:k]]
+        last = last.copy()
+        if suffix:
+            node = self._walk(word[k:-1], last, node)
+            last.append(None)  # inside a symbol no prefix ends
+            self._walk((word[-1] + END,), last, node)
+        else:
+            self._walk(word[k:], last, node)
+        return self._chain(last, len(last) - 1)
 
     def encode(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a stream of symbols, each as soon as it is stable."""
-        last, n, state = [""], 0, 0  # last[i]: last token of the prefix that ends at i
-        step, go, ends, holds = 2 * self.max_len, self._go, self._ends, self._holds
+        last, n, node = [""], 0, self._root  # last[i]: last token of the prefix that ends at i
+        step, holds = 2 * self.max_len, self._holds
         for s in symbols:
             n += len(s)
             if len(s) > 1:
                 last.append(None)  # inside a symbol no prefix ends
-            key = state, s
-            state = go.get(key)
-            if state is None:
-                state = go[key] = self._next(*key)
-            for t, k in ends[state]:
+            to = node[0].get(s)
+            node = self._next(node, s) if to is None else to
+            for t, k in node[1]:
                 if k <= n and (before := last[n - k]) is not None and (not before or holds[before, t]):
                     last.append(t)
                     break
@@ -211,6 +226,13 @@ def space_pieces(text: str) -> list[str]:
     return [first, *(" " + x for x in rest)]
 
 
+class Missing(dict):
+    """Symbols that the vocabulary lacks have no id."""
+
+    def __missing__(self, _: str) -> bytes:
+        return b""
+
+
 class Encoder:
     """Whole texts to ids for the two kinds of vocabulary files: words (lower case, white space dropped, word ends
     marked) and bytes (a space opens the word after it). Texts are cut where neither kind joins anything. What lies
@@ -225,11 +247,11 @@ class Encoder:
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         model, before = spec["model"], spec["pre_tokenizer"]
-        splits = [x["pattern"]["Regex"] for x in before.get("pretokenizers", [before]) if x["type"] == "Split"]
-        self.by_words, self.pattern = bool(splits), regex.compile(splits[0]) if splits else None
+        self.by_words = "Split" in [x["type"] for x in before.get("pretokenizers", [before])]
         self.suffix = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.transducer = Transducer(model["vocab"], merges, self.suffix)
+        self.id_bytes = Missing((t, i.to_bytes(4, "little")) for t, i in self.transducer.ids.items())
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
@@ -254,20 +276,33 @@ class Encoder:
 
     def _short_word(self, word: str) -> bytes:
         """_word() of up to LONG characters."""
-        t, symbols = self.transducer, list(word)
-        if self.suffix:
-            symbols[-1] += END
-        return array("I", [t.ids[x] for x in t.window(symbols) if x in t.ids]).tobytes()
+        if len(word) > LONG:  # its bytes may be more than its characters
+            return b"".join(self._word(word))
+        return b"".join(map(self.id_bytes.__getitem__, self.transducer.window(word, bool(self.suffix))))
 
     def _short_piece(self, piece: str) -> bytes:
-        """Ids of a piece of up to LONG characters. In visible ASCII, where all tables of characters agree, the
-        vocabulary's own pattern cuts it."""
-        if not (self.pattern and piece.isascii() and piece.isprintable()) or self.cut.search(piece):
-            return b"".join(self._piece(piece))
-        words = self.pattern.findall(piece.lower())
-        if words == [piece]:
+        """Ids of a piece of up to LONG characters; a word of a to z is its own only pre-token."""
+        if self.by_words and piece.isascii() and piece.isalpha() and piece.islower():
             return self._short_word(piece)
-        return b"".join([self.memo[w] if w.isalpha() else self.inner[w] for w in words])
+        return b"".join(self._piece(piece))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts short pieces of a vocabulary of words into the memo: the library sees all of them at once."""
+        text = self.normalizer.normalize_str(" ".join(pieces))
+        parts = text.split(" ")
+        if len(parts) != len(pieces) or self.cut.search(text):
+            return  # one by one, then, when they are asked for
+        memo, inner = self.memo, self.inner
+        ends, k, own = list(accumulate(len(x) + 1 for x in parts)), 0, []
+        for word, (start, _) in self.pre_tokenizer.pre_tokenize_str(text):
+            while start >= ends[k]:
+                if pieces[k] not in memo:
+                    memo.put(pieces[k], own[0] if len(own) == 1 else b"".join(own))
+                k, own = k + 1, []
+            own.append(memo[word] if word.isascii() and word.isalpha() else inner[word])
+        for x in pieces[k:]:
+            memo.put(x, b"".join(own))
+            own = []
 
     def _piece(self, piece: str) -> Iterator[bytes]:
         for k, part in enumerate(self.cut.split(piece)):
@@ -295,6 +330,10 @@ class Encoder:
         for k in range(0, len(pieces), MANY):
             some = pieces[k : k + MANY]
             if max(map(len, some)) <= LONG:
+                memo, old = self.memo, self.memo.old
+                new = [x for x in set(some) if x not in memo and x not in old] if self.by_words else ()
+                if len(new) > 1:
+                    self._learn(new)
                 yield b"".join(map(known, some))
                 continue
             for x in some:
@@ -342,6 +381,7 @@ def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file and worker process."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        gc.freeze()  # many objects that stay: collections needn't go through them
     return _encoders[path]
 
 

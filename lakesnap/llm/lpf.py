@@ -258,7 +258,7 @@ def removed(docs: DataFrame, span: int, steps: Steps) -> DataFrame:
     whole = every.where("what < 3").select("doc_id", "p0", F.when(F.col("what") == 1, F.col("p1")).otherwise(F.col("p1") + (span - 1)).alias("p1"))
 
     open_runs = every.where("what = 3")
-    hot = open_runs.groupBy("k").count().where(F.col("count") > HOT).select("k", F.lit(True).alias("hot"))
+    hot = steps.written(open_runs.groupBy("k").count().where(F.col("count") > HOT).select("k", F.lit(True).alias("hot")), "hot")
     marked = open_runs.join(hot, "k", "left")  # few: a hot string takes HOT runs
     per_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("k", "p0", "p1", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
 

@@ -8,7 +8,8 @@ posting lists, the collisions of two that meet are counted over their whole sign
 components rule them out have been skipped; links are confirmed on whole sets.
 
 Exact copies of a set are one class throughout. In each of ROUNDS rounds, the classes of a posting list are compared
-with one of them, a number of pairs in proportion to the postings; classes in one component need no more comparisons.
+with one of them (first with the most central one, which near copies of one text have most in common with), a number of
+pairs in proportion to the postings; classes in one component need no more comparisons.
 At the end, all that still meet in different components are compared: in lists of up to FEW classes as pairs, in longer
 lists by a prefix join on the shingles themselves (`prefix_pairs`), which forms no pairs of texts that only share a
 part. With `exact`, that join takes the place of the signatures for all classes, and no link can be lost.
@@ -97,13 +98,15 @@ def _tokens(classes: DataFrame, signature) -> DataFrame:
 
 
 def postings(classes: DataFrame, size: int = K, least: int = LEAST) -> DataFrame:
-    """node, token: of each class (node, signature) the first K - LEAST + 1 tokens, light ones first, then heavy ones from rare to frequent."""
+    """node, token, central: of each class (node, signature) the first K - LEAST + 1 tokens, light ones first, then heavy
+    ones from rare to frequent; central is high for classes whose coordinates many others have: the text that near
+    copies were made from has more in common with them than they with each other."""
     spark = classes.sparkSession
     total = classes.count() * size
     counted = _tokens(classes, "signature").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > max(2, total // HEAVY))
     heavy = counted.toArrow().sort_by("token")  # fewer than HEAVY rows of two integers
     if not heavy.num_rows:
-        return _tokens(classes, F.slice("signature", 1, size - least + 1))
+        return _tokens(classes, F.slice("signature", 1, size - least + 1)).withColumn("central", F.lit(0.0).cast("float"))
     shared = spark.sparkContext.broadcast((heavy["token"].to_numpy(), heavy["n"].to_numpy()))
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,9 +120,10 @@ def postings(classes: DataFrame, size: int = K, least: int = LEAST) -> DataFrame
             at = np.minimum(np.searchsorted(keys, token), len(keys) - 1)
             weight = np.where(keys[at] == token, often[at], 0)
             order = np.lexsort((token, weight))[:, : size - least + 1]  # by weight, then token
-            yield pd.DataFrame({"node": np.repeat(pdf.node.to_numpy(), size - least + 1), "token": np.take_along_axis(token, order, 1).ravel()})
+            central = np.log2(1.0 + weight).sum(1).astype(np.float32)
+            yield pd.DataFrame({"node": np.repeat(pdf.node.to_numpy(), size - least + 1), "token": np.take_along_axis(token, order, 1).ravel(), "central": np.repeat(central, size - least + 1)})
 
-    return classes.select("node", "signature").mapInPandas(first, "node long, token long")
+    return classes.select("node", "signature").mapInPandas(first, "node long, token long, central float")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, steps: Steps) -> DataFrame:
@@ -223,13 +227,14 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int, steps:
     links = texts = found = tested = None
     for r in range(ROUNDS + 1):
         # only lists in which two components meet
-        hub = F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(r)))
+        order = F.struct("central", F.xxhash64("node")) if r == 0 else F.struct(F.xxhash64("node", F.lit(r)))
+        hub = F.max_by(F.struct("node", "component"), order)
         lists = posted.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), hub.alias("hub")).where("x < y").select("token", "hub")
         posted = steps.written(posted.join(steps.written(lists, "hubs-of-lists"), "token"), "lists")
         if r == 0:
             texts = steps.bucketed(_texts(docs, classes.join(posted.select("node").distinct(), "node", "left_semi"), size), "node", "texts")
         if r < ROUNDS:
-            pairs = posted.where("component <> hub.component").select(F.least("hub.node", "node").alias("a"), F.greatest("hub.node", "node").alias("b")).distinct()
+            pairs = posted.where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
         else:
             many = steps.written(posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > FEW), "long-lists")
             a, b = (posted.join(many, "token", "left_anti").select("token", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
@@ -238,12 +243,14 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int, steps:
             crowd = crowd.join(texts, "node").join(classes.select("node", "signature"), "node")
             pairs = pairs.union(prefix_pairs(crowd, size, percent, steps, LEAST)).distinct()
         pairs = _alike(pairs, classes, LEAST, percent, steps)
-        pairs = steps.written(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "pairs")
-        tested = pairs.union(tested) if tested else pairs
-        new = steps.written(_confirmed(pairs, texts, size, percent, steps), "links")
+        # a pair may come as (a, b) and as (b, a); a is the hub, so that only joins on a are uneven
+        pairs = pairs.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).dropDuplicates(["x", "y"])
+        pairs = steps.written(pairs.join(tested.select("x", "y"), ["x", "y"], "left_anti") if tested else pairs, "pairs")
+        tested = pairs.union(tested.select(pairs.columns)) if tested else pairs
+        new = steps.written(_confirmed(pairs.select("a", "b"), texts, size, percent, steps), "links")
         links = links.union(new) if links else new
         found = steps.written(components(links, steps), "components")
-        posted = posted.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+        posted = posted.select("token", "node", "central").join(found, "node", "left").select("token", "node", "central", F.coalesce("component", "node").alias("component"))
     return found
 
 

@@ -61,6 +61,15 @@ def test_equals_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_and_nothing_left_behind(spark):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = {t.name for t in spark.catalog.listTables()}
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in minhash.near_duplicates(df, 4, exact=True).collect())
+    assert got == brute(rows, 4, 80)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def test_heavy_values_are_posted_last(spark, monkeypatch):
     monkeypatch.setattr(minhash, "HEAVY", 64)
     rows = corpus(3)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -67,3 +68,24 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert len(held) > 200 and np.mean([r.predicted == (r.doc_id % 6 == 0) for r in held]) > 0.98
     empty = T.toxicity(docs, known.limit(0)).collect()
     assert len({r.score for r in empty}) == 1 and T.toxicity(docs.limit(0), known).count() == 0
+
+
+def test_long_words_take_linear_time_and_stay_out_of_the_memo():
+    lexicon = T.Lexicon({"idiot": 3.0}, {"mor": 3.0})
+    for text in ("x" * 5_000_000, "mor" + "y" * 5_000_000, "idiot" * 1_000_000, "nö" * 2_000_000):
+        began = time.process_time()
+        T.features(lexicon, text)
+        assert time.process_time() - began < 10
+    assert lexicon.find("mor" + "y" * 1000) == ("stem", "mor") and lexicon.find("idiots" * 1000) is None
+    assert all(len(w) <= T.LONG for w in lexicon.looked_up)
+
+
+def test_repeated_and_tied_rows(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows[:600] + rows[:3] + [(0, "other words", "x", 0.0)], "doc_id long, text string, lang string, score double")
+    known = spark.createDataFrame([*labels[:600], (1, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = T.toxicity(docs, known).collect()
+    by_text = {}
+    for r, row in zip(got, docs.collect(), strict=True):
+        assert by_text.setdefault(row.text, r.score) == r.score
+    assert len(got) == 604

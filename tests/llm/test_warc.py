@@ -1,4 +1,6 @@
 import gzip
+import time
+import zlib
 from html.parser import HTMLParser
 
 from lakesnap.llm import warc
@@ -87,3 +89,51 @@ def test_files_are_read_back(spark, tmp_path):
     assert back.count() == len(PAGES)
     assert sorted(r.record_id for r in warc.derive(back).collect()) == sorted(r.record_id for r in warc.warc_derivatives(df).collect())
     assert gzip.decompress(members[0]).startswith(b"WARC/1.1\r\n")
+
+
+def test_pages_that_nothing_closes_take_linear_time():
+    for part in ("<a", "<script ", "<title", "<meta a='x' ", "</p ", "<!", "<a <!-- ", "<meta a=\"b>", "<svg<title>"):
+        n = 5_000_000 // len(part)
+        began = time.process_time()
+        warc.page_text("<p>one</p>" + part * n)
+        warc.page_title("<p>one</p>" + part * n)
+        assert time.process_time() - began < 30, part
+    assert warc.page_text("<p>3 < 4 and <b") == "3 < 4 and <b" and warc.page_text("a > b <!-- c < d") == "a > b"
+
+
+def response(body, *headers):
+    block = b"HTTP/1.1 200 OK\r\n" + b"".join(h + b"\r\n" for h in headers) + b"\r\n" + body
+    head = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "u"), ("WARC-Date", "2020-02-02T00:00:00Z"), ("X-Twice", "one"), ("X-Twice", "two")]
+    return warc.record(head, block)
+
+
+def test_bodies_are_taken_out_of_chunks_and_compression():
+    page = b"<p>hello w\xc3\xb6rld</p>" * 50
+    chunked = b"".join(b"%x;x=1\r\n%s\r\n" % (len(page[k : k + 64]), page[k : k + 64]) for k in range(0, len(page), 64)) + b"0\r\n\r\n"
+    packed = zlib.compressobj(wbits=-15)
+    raw = packed.compress(page) + packed.flush()
+    for body, headers in (
+        (chunked, [b"Transfer-Encoding: chunked"]), (gzip.compress(page), [b"Content-Encoding: gzip"]), (zlib.compress(page), [b"Content-Encoding: deflate"]), (raw, [b"content-encoding: deflate"]),
+        (page, [b"Transfer-Encoding: chunked", b"Content-Encoding: gzip"]),  # decoded by the crawler
+    ):
+        ((headers, block),) = warc.parsed(response(body, *headers, b"Set-Cookie: a", b"Set-Cookie: b"))
+        assert [v for k, v in headers.pairs if k == "X-Twice"] == ["one", "two"]
+        (own, text), (about, fields) = warc.derivatives(headers, block, "2024-05-05T00:00:00Z")
+        assert text.decode() == "\n".join(["hello wörld"] * 50)
+        assert dict(own)["WARC-Date"] == "2024-05-05T00:00:00Z" and dict(own)["WARC-Refers-To-Date"] == "2020-02-02T00:00:00Z"
+        assert fields.count(b"source-set-cookie") == 2
+    whole = chunked[: len(chunked) // 2]
+    assert warc.plain_body(warc.Headers(["Transfer-Encoding: chunked"]), whole) == whole
+
+
+def test_streams_of_members_and_plain_files(spark, tmp_path):
+    records = [response(b"x" * n, b"A: b") for n in (0, 10, 3 << 20, 5)]
+    packed = b"".join(gzip.compress(r) for r in records)
+    for data in (packed, b"".join(records)):
+        for size in (7000, 1 << 20, len(data)):
+            parts = (data[k : k + size] for k in range(0, len(data), size))
+            assert [len(b) for _, b in warc.streamed(warc.inflated(parts))] == [len(r) - r.index(b"HTTP/") - 4 for r in records]
+    (tmp_path / "a.warc.gz").write_bytes(packed)
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    assert sorted(bytes(r.record) for r in warc.read_warc(spark, str(tmp_path)).collect()) == sorted(records * 2)
+    assert list(warc.streamed(warc.inflated([]))) == []
