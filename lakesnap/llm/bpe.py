@@ -17,7 +17,6 @@ Normalisation and pre-tokenisation are the library's own; the merges, and the de
 from __future__ import annotations
 
 import codecs
-import gc
 import hashlib
 import json
 import re
@@ -70,8 +69,8 @@ class Transducer:
         self._starts = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
         self._root = ({}, (), "")
         self._nodes = {"": self._root}
-        self._holds = Memo("bpe", PAIRS, lambda uv: self.borders_hold(*uv))
-        self._heads = Memo("bpe", HEADS, self._head)
+        self._holds = Memo("bpe", PAIRS, lambda uv: self.borders_hold(*uv), each=120)
+        self._heads = Memo("bpe", HEADS, self._head, each=400)
         self.lookahead = self.sufficient_lookahead()
 
     def _next(self, node: tuple, symbol: str) -> tuple:
@@ -381,7 +380,6 @@ def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file and worker process."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-        gc.freeze()  # many objects that stay: collections needn't go through them
     return _encoders[path]
 
 

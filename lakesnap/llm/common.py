@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import sys
 import tempfile
 import uuid
 import weakref
@@ -135,12 +134,13 @@ class Cache(dict):
 
 
 class Memo(Cache):
-    """Results that may be forgotten. About `limit` bytes are held, in two halves: when the younger one is full, the
-    older one goes, and what is asked for again comes back from it before that. memo[key] makes what is missing."""
+    """Results that may be forgotten. About `limit` bytes are held, of entries of about `each`, in two halves: when the
+    younger one is full, the older one goes, and what is asked for again comes back from it before that. memo[key] makes
+    what is missing; keys longer than `largest` are not kept."""
 
-    def __init__(self, owner: str, limit: int, make=None, largest: int | None = None):
+    def __init__(self, owner: str, limit: int, make=None, largest: int | None = None, each: int = 180):
         super().__init__(owner)
-        self.half, self.held, self.old, self.make, self.largest = limit // 2, 0, {}, make, largest
+        self.most, self.old, self.make, self.largest = limit // each // 2, {}, make, largest
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -149,17 +149,15 @@ class Memo(Cache):
     def put(self, key, value):
         if self.largest is not None and len(key) > self.largest:
             return value
-        self.held += sys.getsizeof(key) + sys.getsizeof(value) + 100
-        if self.held > self.half:
+        if len(self) >= self.most:
             self.old = dict(self)
             super().clear()
-            self.held = sys.getsizeof(key) + sys.getsizeof(value) + 100
         self[key] = value
         return value
 
     def clear(self) -> None:
         super().clear()
-        self.old, self.held = {}, 0
+        self.old = {}
 
 
 def claim(owner: str) -> None:
