@@ -39,10 +39,11 @@ def main(args: list[str] | None = None, config: Config | None = None) -> int:
     try:
         spark = c.session()
         catalog = Catalog(spark, c.warehouse, a.catalog or c.catalog)
+        options = c.s3_options() if c.endpoint.strip() or c.access_key else None
         if a.what == "backup":
-            backup(Table(catalog, a.database, a.table), c.backup_root, a.backup_name, since=a.since)
+            backup(Table(catalog, a.database, a.table), c.backup_root, a.backup_name, since=a.since, options=options)
         else:
-            restore(catalog, c.backup_root, a.backup_name, a.target_database, a.target_table, a.target_location)
+            restore(catalog, c.backup_root, a.backup_name, a.target_database, a.target_table, a.target_location, options=options)
     except (LakesnapError, ValueError) as e:
         log.error("%s failed: %s", a.what, e)
         return 1

@@ -43,7 +43,8 @@ class Config:
     def s3_options(self) -> dict[str, str]:
         """Options of an S3 file system; endpoint and token only where they are set."""
         out = {"region": self.region, "access_key": self.access_key, "secret_key": self.secret_key}
-        return out | {k: v for k, v in (("session_token", self.session_token), ("endpoint_override", self.endpoint)) if v.strip()}
+        out |= {k: v for k, v in (("session_token", self.session_token), ("endpoint_override", self.endpoint)) if v.strip()}
+        return out | ({"scheme": "http"} if self.endpoint.strip().startswith("http:") else {})
 
     def spark_options(self) -> dict[str, str]:
         a, out = "spark.hadoop.fs.s3a.", {"spark.sql.session.timeZone": "UTC"}

@@ -7,13 +7,16 @@
 from __future__ import annotations
 
 import copy
+import time
+import uuid
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesnap import logs
-from lakesnap.errors import Conflict, NotFound
+from lakesnap.errors import Conflict, CopyFailed, NotFound
 from lakesnap.functions.paths import abstract_path, canonical, canonical_text
 from lakesnap.operators.ancestry import chain
 from lakesnap.operators.copying import copied, judged
@@ -59,16 +62,19 @@ def gathered(table: Table, snapshots: list[dict[str, Any]]) -> tuple[DataFrame,
     return rows.select("snapshot_id", *(c.split()[0] for c in MANIFEST_LIST.split(", "))), entries.select("manifest_path", *(c.split(" ")[0] for c in ("status int", "snapshot_id bigint", "data_file x")))
 
 
-def backup(table: Table, root: str, name: str, *, since: str | None = None, max_failure_ratio: float = 0.0, overwrite: bool = False) -> dict[str, Any]:
+def backup(table: Table, root: str, name: str, *, since: str | None = None, max_failure_ratio: float = 0.0, overwrite: bool = False, options: Mapping[str, str] | None = None) -> dict[str, Any]:
     """Copies the table under root/name; the backup's document. since: an earlier backup of the same root; what that
-    (or those before it) holds is referred to, not copied."""
+    (or those before it) holds is referred to, not copied. overwrite: the new backup is made beside the one of that name
+    and takes its place when it is whole; one that others refer to is not replaced."""
     name, store, spark = checked(name, "backup name"), Store(table.spark), table.spark
-    root = store.qualified(root)
-    home, log = f"{root.rstrip('/')}/{name}", logs.get("backup")
+    root = store.qualified(root).rstrip("/")
+    home, log = f"{root}/{name}", logs.get("backup")
     if store.exists(f"{home}/backup_metadata.json"):
         if not overwrite:
             raise Conflict(f"backup {name} exists")
-        store.delete(home)
+        if (others := referring(store, root, name)) or since == name:
+            raise Conflict(f"backup {name} holds files of {', '.join(others) or name}")
+    at = f"{root}/.{name}-{uuid.uuid4().hex}"
     metadata = table.metadata()
     location, relative_metadata = metadata["location"], abstract_metadata(metadata)
     snapshots = chain(metadata["snapshots"], metadata["current-snapshot-id"] or None)
@@ -77,23 +83,28 @@ def backup(table: Table, root: str, name: str, *, since: str | None = None, max_
     files = live_files(entries).select("content", "file_path", F.col("file_size_in_bytes").alias("size"), "record_count")
     files = files.withColumn("path", abstract_path(F.col("file_path"), location)).withColumn("home", F.lit(home))
     if since is not None:
-        held = held_files(spark, f"{root.rstrip('/')}/{checked(since, 'backup name')}")
+        held = held_files(spark, f"{root}/{checked(since, 'backup name')}")
         files = files.drop("home").join(held, "path", "left").withColumn("home", F.coalesce("home", F.lit(home)))
-    files.write.mode("overwrite").parquet(f"{home}/files")
-    files = spark.read.parquet(f"{home}/files")
-    plan = files.where(F.col("home") == home).select(F.col("file_path").alias("src"), F.concat_ws("/", F.lit(home), "path").alias("dst"), "size")
-    copied(plan).write.mode("overwrite").parquet(f"{home}/outcomes")
-    counts = judged(spark.read.parquet(f"{home}/outcomes"), max_failure_ratio)
-    manifests.withColumn("manifest_path", abstract_path(F.col("manifest_path"), location)).coalesce(1).write.mode("overwrite").parquet(f"{home}/manifests")
-    abstracted(entries, location).withColumn("manifest_path", abstract_path(F.col("manifest_path"), location)).write.mode("overwrite").parquet(f"{home}/entries")
-    store.write_json(f"{home}/metadata.json", relative_metadata, overwrite=True)
+    files.write.mode("overwrite").parquet(f"{at}/files")
+    files = spark.read.parquet(f"{at}/files")
+    plan = files.where(F.col("home") == home).select(F.col("file_path").alias("src"), F.concat_ws("/", F.lit(at), "path").alias("dst"), "size")
+    copied(plan, options=options).write.mode("overwrite").parquet(f"{at}/outcomes")
+    try:
+        counts = judged(spark.read.parquet(f"{at}/outcomes"), max_failure_ratio)
+    except CopyFailed:
+        store.delete(at)
+        raise
+    manifests.withColumn("manifest_path", abstract_path(F.col("manifest_path"), location)).coalesce(1).write.mode("overwrite").parquet(f"{at}/manifests")
+    abstracted(entries, location).withColumn("manifest_path", abstract_path(F.col("manifest_path"), location)).write.mode("overwrite").parquet(f"{at}/entries")
+    store.write_json(f"{at}/metadata.json", relative_metadata, overwrite=True)
     document = {
         "original_database": table.db, "original_table": table.name, "original_location": location, "backup_name": name, "abstracted_metadata": relative_metadata,
         "manifest_lists": [s["manifest-list"] for s in relative_metadata["snapshots"] if s.get("manifest-list")],
-        "individual_manifests": [r.manifest_path for r in spark.read.parquet(f"{home}/manifests").select("manifest_path").distinct().orderBy("manifest_path").collect()],
-        "data_files_table": "files", "copied": counts.copied, "failed": counts.failed, "since": since,
+        "individual_manifests": [r.manifest_path for r in spark.read.parquet(f"{at}/manifests").select("manifest_path").distinct().orderBy("manifest_path").collect()],
+        "data_files_table": "files", "copied": counts.copied, "failed": counts.failed, "since": since, "created_ms": int(time.time() * 1000),
     }
-    store.write_json(f"{home}/backup_metadata.json", document)
+    store.write_json(f"{at}/backup_metadata.json", document)
+    store.replace(at, home)
     log.info("backup %s of %s.%s: %d files copied, %d failed", name, table.db, table.name, counts.copied, counts.failed)
     return document
 
@@ -114,7 +125,7 @@ def opened(store: Store, root: str, name: str) -> dict[str, Any]:
 
 def backups(store: Store, root: str) -> list[str]:
     """Names of the finished backups under root."""
-    return [x for x in store.names(root) if store.exists(f"{root.rstrip('/')}/{x}/backup_metadata.json")]
+    return [x for x in store.names(root) if not x.startswith(".") and store.exists(f"{root.rstrip('/')}/{x}/backup_metadata.json")]
 
 
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -123,16 +134,25 @@ def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     return a.join(b, "path", "left_anti").withColumn("change", F.lit("added")).unionByName(b.join(a, "path", "left_anti").withColumn("change", F.lit("removed")))
 
 
+def _since(store: Store, root: str, name: str) -> list[str]:
+    """The backups that a backup rests on, nearest first."""
+    out, now = [], opened(store, root, name).get("since")
+    while now and now not in out:
+        out.append(now)
+        now = opened(store, root, now).get("since")
+    return out
+
+
+def referring(store: Store, root: str, name: str) -> list[str]:
+    """Backups that rest on this one."""
+    return [x for x in backups(store, root) if x != name and name in _since(store, root, x)]
+
+
 def expire_backups(store: Store, root: str, keep: int) -> list[str]:
-    """Deletes all but the last `keep` backups by name, except those whose files a kept one refers to; the names deleted."""
-    names = backups(store, root)
-    stay, todo = set(), names[-max(1, keep) :]
-    while todo:
-        n = todo.pop()
-        if n not in stay:
-            stay.add(n)
-            since = opened(store, root, n).get("since")
-            todo += [since] if since else []
+    """Deletes all but the last `keep` backups by time, except those that a kept one rests on; the names deleted."""
+    names = sorted(backups(store, root), key=lambda x: (opened(store, root, x).get("created_ms", 0), x))
+    stay = set(names[-max(1, keep) :])
+    stay |= {y for x in stay for y in _since(store, root, x)}
     gone = [n for n in names if n not in stay]
     for n in gone:
         store.delete(f"{root.rstrip('/')}/{n}")

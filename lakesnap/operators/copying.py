@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row
@@ -15,18 +15,20 @@ from lakesnap.schemas import OUTCOME
 TASK_BYTES, UNKNOWN = 1 << 30, 64 << 20
 
 
-def filesystem(uri: str):
-    """(pyarrow file system, path in it)."""
+def filesystem(uri: str, options: Mapping[str, str] | None = None):
+    """(pyarrow file system, path in it). options: those of an S3 store that isn't the default one (Config.s3_options)."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
         uri = "file:///" + uri[5:].lstrip("/")
     elif uri.startswith(("s3a://", "s3n://")):
         uri = "s3" + uri[3:]
+    if options and uri.startswith("s3://"):
+        return fs.S3FileSystem(**options), uri[5:]
     return fs.FileSystem.from_uri(uri)
 
 
-def copy_file(src: str, dst: str, attempts: int = 3, delay: float = 1.0) -> tuple[bool, int | None, int, str | None]:
+def copy_file(src: str, dst: str, attempts: int = 3, delay: float = 1.0, options: Mapping[str, str] | None = None) -> tuple[bool, int | None, int, str | None]:
     """ok, size, attempts, error. A store copies within itself where it can."""
     import time
 
@@ -34,7 +36,7 @@ def copy_file(src: str, dst: str, attempts: int = 3, delay: float = 1.0) -> tupl
 
     for n in range(1, attempts + 1):
         try:
-            (a, p), (b, q) = filesystem(src), filesystem(dst)
+            (a, p), (b, q) = filesystem(src, options), filesystem(dst, options)
             info = a.get_file_info(p)
             if info.type != fs.FileType.File:
                 return False, None, n, f"no such file: {src}"
@@ -50,7 +52,7 @@ def copy_file(src: str, dst: str, attempts: int = 3, delay: float = 1.0) -> tupl
     return False, None, attempts, error
 
 
-def copied(plan: DataFrame, attempts: int = 3, delay: float = 1.0) -> DataFrame:
+def copied(plan: DataFrame, attempts: int = 3, delay: float = 1.0, options: Mapping[str, str] | None = None) -> DataFrame:
     """OUTCOME of each row of plan (src, dst, size or null). Files are spread over tasks by number and size; a task that
     is run again copies again, to the same places."""
     total = plan.agg(F.sum(F.coalesce("size", F.lit(UNKNOWN))), F.count("*")).first()
@@ -58,7 +60,7 @@ def copied(plan: DataFrame, attempts: int = 3, delay: float = 1.0) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(s, d, *copy_file(s, d, attempts, delay)) for s, d in zip(pdf.src, pdf.dst, strict=True)]
+            rows = [(s, d, *copy_file(s, d, attempts, delay, options)) for s, d in zip(pdf.src, pdf.dst, strict=True)]
             out = pd.DataFrame(rows, columns=["src", "dst", "ok", "size", "attempts", "err"])
             yield out.assign(size=out["size"].astype("Int64"))
 

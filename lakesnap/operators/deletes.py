@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesnap.functions.paths import canonical, canonical_text, relocate
+from lakesnap.functions.paths import canonical, canonical_text
 from lakesnap.operators.copying import filesystem
 from lakesnap.schemas import FIELD_IDS
 
@@ -18,25 +18,20 @@ def with_ids(deletes: DataFrame) -> DataFrame:
     return deletes.select(*(F.col(c).alias(c, metadata={"parquet.field.id": i}) for c, i in FIELD_IDS.items()))
 
 
-def relocated(deletes: DataFrame, old: str, new: str) -> DataFrame:
-    """Rows whose file lies under old point under new; others, and nulls, stay."""
-    return with_ids(deletes.withColumn("file_path", relocate(F.col("file_path"), old, new)))
-
-
 def applied(rows: DataFrame, deletes: DataFrame, path: str = "__path", pos: str = "__pos") -> DataFrame:
     """rows without those that deletes name by file and position."""
     d = deletes.select(canonical(F.col("file_path")).alias("__d_path"), F.col("pos").alias("__d_pos"))
     return rows.join(d, (F.col(path) == F.col("__d_path")) & (F.col(pos) == F.col("__d_pos")), "left_anti")
 
 
-def rewrite_file(src: str, dst: str, old: str, new: str) -> int:
+def rewrite_file(src: str, dst: str, old: str, new: str, options: Mapping[str, str] | None = None) -> int:
     """Rewrites one delete file with paths moved from old to new, by columns; schema and field ids stay. -> new size.
     A file without file_path is copied as it is."""
     import pyarrow as pa
     import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
-    (a, p), (b, q) = filesystem(src), filesystem(dst)
+    (a, p), (b, q) = filesystem(src, options), filesystem(dst, options)
     t = pq.read_table(p, filesystem=a)
     if "file_path" in t.column_names:
         at = t.schema.get_field_index("file_path")
@@ -54,12 +49,12 @@ def rewrite_file(src: str, dst: str, old: str, new: str) -> int:
     return b.get_file_info(q).size
 
 
-def rewritten(spark: SparkSession, plan: DataFrame, old: str, new: str) -> DataFrame:
+def rewritten(spark: SparkSession, plan: DataFrame, old: str, new: str, options: Mapping[str, str] | None = None) -> DataFrame:
     """file_path (dst) and size for each delete file of plan (src, dst), rewritten on executors. Any failure is an error."""
     old, new = canonical_text(old), canonical_text(new)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"file_path": pdf.dst, "size": [rewrite_file(s, d, old, new) for s, d in zip(pdf.src, pdf.dst, strict=True)]})
+            yield pd.DataFrame({"file_path": pdf.dst, "size": [rewrite_file(s, d, old, new, options) for s, d in zip(pdf.src, pdf.dst, strict=True)]})
 
     return plan.select("src", "dst").repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(work, "file_path string, size long")

@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from lakesnap.functions.paths import abstract_path, canonical, relocate, relocate_bounds
 
 
-def manifest_lists(snapshots: DataFrame, location: str) -> DataFrame:
-    """Distinct absolute manifest-list paths of snapshots."""
-    path = F.col("`manifest-list`")
-    return snapshots.where(path.isNotNull()).select(F.when(F.regexp_like(path, F.lit("^([A-Za-z][A-Za-z0-9+.-]*:)?/")), canonical(path)).otherwise(F.concat_ws("/", F.lit(location.rstrip("/")), path)).alias("manifest_list")).distinct()
-
-
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row for each key, that of the least order: a partial aggregate, no window."""
     others = [c for c in rows.columns if c not in (key, order)]
@@ -55,10 +49,6 @@ def abstracted(entries: DataFrame, location: str) -> DataFrame:
     return moved(entries, abstract_path(F.col("data_file.file_path"), location))
 
 
-def relocated_lists(lists: DataFrame, old: str, new: str) -> DataFrame:
-    return lists.withColumn("manifest_path", relocate(F.col("manifest_path"), old, new))
-
-
 def patched_sizes(entries: DataFrame, sizes: DataFrame) -> DataFrame:
     """Entries whose file is in sizes (file_path, size) get that size and lose their statistics, which no longer hold."""
     s = sizes.select(F.col("file_path").alias("__path"), F.col("size").alias("__size"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import copy
 import uuid
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def restored_metadata(abstracted: dict[str, Any], location: str, lists: dict[int
     return out
 
 
-def restore(catalog: Catalog, root: str, name: str, db: str, table: str, location: str | None = None, *, overwrite: bool = False) -> Table:
+def restore(catalog: Catalog, root: str, name: str, db: str, table: str, location: str | None = None, *, overwrite: bool = False, options: Mapping[str, str] | None = None) -> Table:
     """Puts a backup into the catalog as db.table at location. An existing table, or metadata at location, is an error
     unless overwrite; even then its files stay."""
     spark, store, log = catalog.spark, Store(catalog.spark), logs.get("restore")
@@ -57,9 +58,9 @@ def restore(catalog: Catalog, root: str, name: str, db: str, table: str, locatio
     deletes = files.where("content = 1")
     done = f"{home}/restores/{uuid.uuid4().hex}"
     plain = data_only(files, deletes)
-    copied(plain.select(source, target, "size")).write.parquet(f"{done}/copied")
+    copied(plain.select(source, target, "size"), options=options).write.parquet(f"{done}/copied")
     counts = judged(spark.read.parquet(f"{done}/copied"))
-    rewritten(spark, deletes.select(source, target), old, location).write.parquet(f"{done}/deletes")
+    rewritten(spark, deletes.select(source, target), old, location, options).write.parquet(f"{done}/deletes")
     sizes = spark.read.parquet(f"{done}/deletes")
 
     entries = spark.read.parquet(f"{home}/entries")

@@ -1,13 +1,15 @@
 """Snapshot tables: immutable Parquet files, manifests that list them, a metadata document, a pointer to it.
 
-A commit writes data, then manifests, then the metadata document, and moves the catalog's pointer last, if it is still
-where the writer has read it. Readers choose a snapshot, list its files from manifests (with files skipped by partition
+A commit writes data, then manifests, then the metadata document of the next version, whose name follows from the one
+that the writer has read: of two writers, one finds it there and fails. The catalog's pointer moves last, and only says
+where to begin; a later version that is there counts. Readers choose a snapshot, list its files from manifests (with files skipped by partition
 and bounds) and hand them to Spark's Parquet reader, so pushdown and pruning stay.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import time
 import uuid
 from typing import Any
@@ -25,6 +27,15 @@ from lakesnap.sources.catalog import Catalog
 
 BOUNDED = (T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
+VERSION = re.compile(r"(.*/)(\d+)-([^/]+)\.metadata\.json")
+
+
+def next_version(path: str) -> str:
+    """The only name that the version after a metadata document can have."""
+    m = VERSION.fullmatch(path)
+    folder, n, line = (m[1], int(m[2]), m[3]) if m else (path.rsplit("/", 1)[0] + "/", 0, uuid.uuid5(uuid.NAMESPACE_URL, path))
+    return f"{folder}{n + 1:05d}-{line}.metadata.json"
+
 
 class Table:
     def __init__(self, catalog: Catalog, db: str, name: str):
@@ -51,8 +62,15 @@ class Table:
         catalog.register(db, name, location, path)
         return out
 
+    def current(self) -> str:
+        """The newest metadata document: the pointer's, or what a writer has put after it."""
+        path = self.catalog.pointer(self.db, self.name)["metadata_location"]
+        while self.store.exists(after := next_version(path)):
+            path = after
+        return path
+
     def metadata(self) -> dict[str, Any]:
-        return self.store.read_json(self.catalog.pointer(self.db, self.name)["metadata_location"])
+        return self.store.read_json(self.current())
 
     @property
     def schema(self) -> T.StructType:
@@ -60,7 +78,10 @@ class Table:
 
     def snapshot(self, snapshot_id: int | None = None, as_of_ms: int | None = None) -> dict[str, Any] | None:
         """By id, or the last at a time, or the current one; None if the table has none yet."""
-        m = self.metadata()
+        return self._snapshot(self.metadata(), snapshot_id, as_of_ms)
+
+    @staticmethod
+    def _snapshot(m: dict[str, Any], snapshot_id: int | None = None, as_of_ms: int | None = None) -> dict[str, Any] | None:
         if snapshot_id is not None:
             found = [s for s in m["snapshots"] if s["snapshot-id"] == snapshot_id]
             if not found:
@@ -90,7 +111,8 @@ class Table:
 
     def metadata_log(self) -> DataFrame:
         """timestamp_ms, file, the newest included."""
-        m, now = self.metadata(), self.catalog.pointer(self.db, self.name)["metadata_location"]
+        now = self.current()
+        m = self.store.read_json(now)
         rows = [(x["timestamp-ms"], x["metadata-file"]) for x in m["metadata-log"]]
         last = m["snapshots"][-1]["timestamp-ms"] if m["snapshots"] else 0
         return self.spark.createDataFrame([*rows, (max([last, *(t for t, _ in rows)]), now)], "timestamp_ms bigint, file string")
@@ -188,16 +210,19 @@ class Table:
         return self._commit("merge", parts)
 
     def set_property(self, key: str, value: str) -> None:
-        self._save({**(m := self.metadata()), "properties": {**m["properties"], key: value}})
+        before = self.current()
+        m = self.store.read_json(before)
+        self._save({**m, "properties": {**m["properties"], key: value}}, before)
 
     def expire(self, keep: int) -> list[int]:
         """Forgets all but the last `keep` snapshots of the current line; their ids. Files stay: backups may share them."""
-        m = self.metadata()
+        before = self.current()
+        m = self.store.read_json(before)
         line = chain(m["snapshots"], m["current-snapshot-id"])
         stay = {s["snapshot-id"] for s in line[-max(1, keep) :]}
         gone = [s["snapshot-id"] for s in m["snapshots"] if s["snapshot-id"] not in stay]
         kept = [{k: v for k, v in s.items() if k != "parent-snapshot-id" or v in stay} for s in m["snapshots"] if s["snapshot-id"] in stay]
-        self._save({**m, "snapshots": kept, "snapshot-log": [x for x in m["snapshot-log"] if x["snapshot-id"] in stay]})
+        self._save({**m, "snapshots": kept, "snapshot-log": [x for x in m["snapshot-log"] if x["snapshot-id"] in stay]}, before)
         return gone
 
     def _location(self) -> str:
@@ -242,8 +267,9 @@ class Table:
         )
 
     def _commit(self, operation: str, parts: list[DataFrame], gone: DataFrame | None = None) -> int:
-        m = self.metadata()
-        before, now = self.catalog.pointer(self.db, self.name)["metadata_location"], self.snapshot()
+        before = self.current()  # read once: what is based on it is published after it, or not at all
+        m = self.store.read_json(before)
+        now = self._snapshot(m)
         new_id, ms = random.getrandbits(62), max(int(time.time() * 1000), (now or {}).get("timestamp-ms", 0) + 1)
         location, lists = m["location"], []
         if now:
@@ -257,8 +283,7 @@ class Table:
                 rows = rows.unionByName(gone)
             path = f"{location}/metadata/{uuid.uuid4().hex}-m{content}"
             rows.select("status", F.lit(new_id).alias("snapshot_id"), "data_file").to(T.StructType.fromDDL(ENTRY)).write.parquet(path)
-            back = self.spark.read.schema(ENTRY).parquet(path)
-            n = back.count()
+            n = self.spark.read.schema(ENTRY).parquet(path).count()
             if n:
                 lists.append(self.spark.createDataFrame([(path, self.store.size(path), content, new_id, n)], MANIFEST_LIST))
         list_path = f"{location}/metadata/snap-{new_id}-{uuid.uuid4().hex}"
@@ -274,9 +299,9 @@ class Table:
         }, before, ms)
         return new_id
 
-    def _save(self, metadata: dict[str, Any], before: str | None = None, ms: int | None = None) -> None:
-        before = before or self.catalog.pointer(self.db, self.name)["metadata_location"]
+    def _save(self, metadata: dict[str, Any], before: str, ms: int | None = None) -> None:
+        """Publishes the version after `before`; Conflict if there is one already."""
         log = [*metadata["metadata-log"], {"timestamp-ms": ms or int(time.time() * 1000), "metadata-file": before}]
-        path = f"{metadata['location']}/metadata/{len(log):05d}-{uuid.uuid4()}.metadata.json"
+        path = next_version(before)
         self.store.write_json(path, {**metadata, "metadata-log": log})
         self.catalog.swap(self.db, self.name, before, metadata["location"], path)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from lakesnap.functions import paths
 from lakesnap.operators import manifests as M
 from lakesnap.operators.ancestry import ancestry
-from lakesnap.operators.backup import backup, changed_files
+from lakesnap.operators.backup import backup, changed_files, gathered
 from lakesnap.operators.copying import copied
 from lakesnap.operators.restore import restore
 from lakesnap.operators.table import Table
 from lakesnap.operators.verify import difference
 from lakesnap.sources.catalog import Catalog
+from lakesnap.sources.documents import Store
 from lakesnap.sources.workspace import workspace
 
 QUERIES: dict = {}
@@ -134,9 +135,29 @@ def ancestry_branching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(n, F.col("id") == F.col("n_nationkey")).select("id", "n_name", "depth")
 
 
-@query("SELECT event_type, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM events GROUP BY event_type")
+@query("SELECT '00003' AS version, true AS is_current")
 def latest_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("ts"), F.max_by("event_id", "ts").alias("event_id"))
+    t = stored(spark, sf_dir, "region")
+    t.append(read(spark, sf_dir, "region"))
+    t.set_property("owner", "nobody")
+    found = t.latest_metadata()
+    return found.select(F.regexp_extract("file", r"/(\d+)-[^/]*$", 1).alias("version"), (F.col("file") == t.current()).alias("is_current"))
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def execute_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stored(spark, sf_dir, "nation")
+    return t.catalog.sql("SELECT n_regionkey, count(*) AS n FROM {t} GROUP BY n_regionkey", t="db.nation")
+
+
+@query("SELECT 1::BIGINT AS place, 2::BIGINT AS snapshots, true AS is_current_ancestor UNION ALL SELECT 2, 2, true")
+def history_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stored(spark, sf_dir, "region")
+    t.delete_where("r_regionkey = 0")
+    h = t.history()
+    before = h.select(F.col("snapshot_id").alias("parent"), F.lit(True).alias("known"))
+    placed = h.join(before, h.parent_id == before.parent, "left").withColumn("place", F.when(F.col("known"), 2).otherwise(1).cast("bigint"))
+    return placed.select("place", F.lit(t.snapshots().count()).alias("snapshots"), "is_current_ancestor")
 
 
 MIDDLE = "TIMESTAMP '1995-06-01 00:00:00'"
@@ -151,11 +172,17 @@ def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.scan(snapshot_id=first)
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS file_path, count(*) AS record_count FROM events GROUP BY ALL")
+@query("SELECT row_number() OVER (ORDER BY o_orderstatus) AS sequence, count(*) AS record_count FROM orders GROUP BY o_orderstatus")
 def manifest_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("file_path")).agg(F.count("*").alias("record_count"))
-    lists = e.groupBy("day").agg(F.collect_list(F.struct("file_path", "record_count")).alias("files"))  # as many as there are event types
-    return lists.select("day", F.explode("files").alias("f")).select("day", "f.*")
+    rows = read(spark, sf_dir, "orders")
+    t = Table.create(Catalog(spark, f"{workspace(spark)}/warehouse"), "db", "orders", rows.schema)
+    for status in "FOP":  # all that there are
+        t.append(rows.where(F.col("o_orderstatus") == status))
+    snapshots = t.snapshots().select(F.col("`snapshot-id`").alias("snapshot_id"), F.col("`sequence-number`").alias("sequence"))
+    manifests, entries = gathered(t, t.metadata()["snapshots"])
+    # each snapshot lists its own manifest and those before it; its files are those that it has added
+    own = manifests.where("snapshot_id = added_snapshot_id").select("snapshot_id", "manifest_path").join(entries.drop("snapshot_id"), "manifest_path")
+    return own.join(snapshots, "snapshot_id").groupBy("sequence").agg(F.sum("data_file.record_count").alias("record_count"))
 
 
 @query("""SELECT p_brand, 's3://new/t/' || min(p_name) AS lower, 's3://new/t/' || max(p_name) AS upper, min(p_size) AS smallest FROM part GROUP BY p_brand""")
@@ -275,14 +302,31 @@ def list_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.catalog.list_tables("db")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("""SELECT 1 AS status, n_regionkey::BIGINT AS snapshot_id, CASE WHEN n_regionkey < 3 THEN 's3://new/t/' ELSE 's3://other/' END || n_name AS file_path,
+  n_nationkey::BIGINT AS record_count, CASE WHEN n_name = 'FRANCE' THEN 7 ELSE 100 END::BIGINT AS file_size_in_bytes FROM nation""")
 def avro_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests as other tools write them, a file for each region, moved to another place and read back."""
     from lakesnap.sources import avro
-
-    schema = {"type": "record", "name": "nation", "fields": [{"name": "n_nationkey", "type": "int"}, {"name": "n_name", "type": ["null", "string"]}, {"name": "n_regionkey", "type": ["null", "int"]}]}
-    rows = [r.asDict() for r in read(spark, sf_dir, "nation").collect()]  # 25 rows at any scale
-    back, _, _ = avro.decode(avro.encode(rows, schema))
-    return spark.createDataFrame([tuple(r.values()) for r in back], "n_nationkey int, n_name string, n_regionkey int")
+    from lakesnap.sources.avro_manifests import read_manifests, rewritten
+
+    file = {"type": "record", "name": "file", "fields": [
+        {"name": "content", "type": "int"}, {"name": "file_path", "type": "string"}, {"name": "file_format", "type": "string"},
+        {"name": "record_count", "type": "long"}, {"name": "file_size_in_bytes", "type": "long"},
+    ]}
+    fields = [{"name": "status", "type": "int"}, {"name": "snapshot_id", "type": ["null", "long"]}, {"name": "data_file", "type": file}]
+    place, by_region = workspace(spark), {}
+    for r in read(spark, sf_dir, "nation").collect():  # 25 rows at any scale
+        path = ("s3://old/t/" if r.n_regionkey < 3 else "s3://other/") + r.n_name
+        entry = {"content": 0, "file_path": path, "file_format": "PARQUET", "record_count": r.n_nationkey, "file_size_in_bytes": 100}
+        by_region.setdefault(r.n_regionkey, []).append({"status": 1, "snapshot_id": r.n_regionkey, "data_file": entry})
+    store = Store(spark)
+    plan = []
+    for k, rows in by_region.items():
+        store.write(f"{place}/in/{k}.avro", avro.encode(rows, {"type": "record", "name": "entry", "fields": fields}))
+        plan.append((store.qualified(f"{place}/in/{k}.avro"), store.qualified(f"{place}/out/{k}.avro"), {"s3://new/t/FRANCE": 7}))
+    done = rewritten(spark.createDataFrame(plan, "src string, dst string, sizes map<string,bigint>"), "s3://old/t", "s3://new/t")
+    paths = [r.manifest_path for r in done.collect()]  # one for each region
+    return read_manifests(spark, paths).select("status", "snapshot_id", "file_path", "record_count", "file_size_in_bytes")
 
 
 def queries() -> dict:

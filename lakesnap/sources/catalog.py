@@ -59,8 +59,9 @@ class Catalog:
         self.store.write_json(self._pointer(db, table), {"location": location, "metadata_location": metadata_location}, overwrite)
 
     def swap(self, db: str, table: str, before: str, location: str, after: str) -> None:
-        """Moves the pointer if it still is where the writer has read it."""
-        if self.pointer(db, table)["metadata_location"] != before:
+        """Moves the pointer to `after`, which its writer has published as the version after `before`. Conflict if the
+        table has been replaced meanwhile; a pointer that lags behind is put right by whoever writes next."""
+        if self.pointer(db, table)["metadata_location"].rsplit("/", 1)[0] != before.rsplit("/", 1)[0]:
             raise Conflict(f"{db}.{table} has changed")
         self.store.write_json(self._pointer(db, table), {"location": location, "metadata_location": after}, overwrite=True)
 

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from typing import Any, TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,10 @@ class Store:
         return fs.exists(p)
 
     def read(self, path: str) -> bytes:
+        """The bytes of a document; errors of the store are tried again, a document that isn't there is not."""
+        return retry(lambda: self._read(path), errors=(Py4JJavaError, OSError))
+
+    def _read(self, path: str) -> bytes:
         fs, p = self._at(path)
         if not fs.exists(p):
             raise NotFound(path)
@@ -58,7 +63,8 @@ class Store:
         return json.loads(self.read(path))
 
     def write(self, path: str, data: bytes, overwrite: bool = False) -> None:
-        """Readers see the whole document or none: it is written beside, then renamed."""
+        """Readers see the whole document or none: it is written beside, then renamed. Without overwrite, one of several
+        writers gets its document there, and the others a Conflict."""
         fs, p = self._at(path)
         if not overwrite and fs.exists(p):
             raise Conflict(path)
@@ -69,6 +75,17 @@ class Store:
             out.write(bytearray(data))
         finally:
             out.close()
+        if not overwrite and fs.getScheme() == "file":  # a rename there replaces what it finds; a link does not
+            files, at = self.jvm.java.nio.file.Files, self.jvm.java.io.File
+            try:
+                files.createLink(at(fs.makeQualified(p).toUri().getPath()).toPath(), at(fs.makeQualified(beside).toUri().getPath()).toPath())
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" in str(e):
+                    raise Conflict(path) from e
+                raise
+            finally:
+                fs.delete(beside, False)
+            return
         option = self.jvm.org.apache.hadoop.fs.Options.Rename
         how = SparkContext._gateway.new_array(option, 1)
         how[0] = option.OVERWRITE if overwrite else option.NONE
@@ -87,6 +104,21 @@ class Store:
         fs, p = self._at(path)
         return fs.delete(p, True)
 
+    def replace(self, path: str, to: str) -> None:
+        """Puts a folder in the place of another, which goes only when it is there."""
+        fs, target = self._at(to)
+        old = None
+        if fs.exists(target):
+            old = self.jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{time.time_ns()}")
+            if not fs.rename(target, old):
+                raise OSError(f"{to} could not be moved")
+        if not fs.rename(self.jvm.org.apache.hadoop.fs.Path(path), target):
+            if old is not None:
+                fs.rename(old, target)
+            raise OSError(f"{path} could not be moved")
+        if old is not None:
+            fs.delete(old, True)
+
     def size(self, path: str) -> int:
         """Bytes of a file, or of all files in a folder."""
         fs, p = self._at(path)

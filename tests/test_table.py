@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pyarrow.parquet as pq
@@ -88,6 +89,68 @@ def test_a_lost_race_is_a_conflict(people):
         people._save(people.metadata(), before)
 
 
+def test_no_commit_loses_a_snapshot(people):
+    """A second writer commits after the first has read metadata, and again before the first moves the pointer."""
+    first, second = people, Table(people.catalog, "default", "people")
+    count = first.count().first()[0]
+
+    def interleaved(m):  # the first writer has read m
+        del first._snapshot
+        second.insert([(8, "y", 1.0)])
+        return Table._snapshot(m)
+
+    first._snapshot = interleaved
+    with pytest.raises(Conflict):
+        first.insert([(9, "z", 1.0)])
+    swap = people.catalog.swap
+
+    def late(*args):
+        people.catalog.swap = swap
+        second.insert([(10, "w", 1.0)])
+        swap(*args)  # the pointer goes back to the first writer's version
+
+    people.catalog.swap = late
+    first.insert([(11, "v", 1.0)])
+    m = first.metadata()
+    ids = {s["snapshot-id"] for s in m["snapshots"]}
+    assert all(s.get("parent-snapshot-id") in ids | {None} for s in m["snapshots"])
+    assert first.count().first()[0] == count + 3 and len(m["snapshots"]) == len(ids)
+    first.insert([(12, "u", 1.0)])
+    assert first.count().first()[0] == count + 4
+
+
+def test_one_of_many_writers_creates_a_document(catalog, tmp_path):
+    path = str(tmp_path / "one.json")
+
+    def put(k):
+        try:
+            catalog.store.write_json(path, {"k": k})
+            return k
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k in pool.map(put, range(16)) if k is not None]
+    assert len(won) == 1 and catalog.store.read_json(path) == {"k": won[0]}
+
+
+def test_backups_that_others_rest_on_stay(people, tmp_path):
+    root = str(tmp_path / "backups")
+    backup(people, root, "full")
+    people.insert([(6, "F", 6.0)])
+    backup(people, root, "b-later", since="full")
+    backup(people, root, "a-last", since="b-later")
+    with pytest.raises(Conflict):
+        backup(people, root, "full", overwrite=True)
+    assert expire_backups(people.store, root, 1) == []
+    verify(people.scan(), restore(people.catalog, root, "a-last", "other", "again", str(tmp_path / "again")).scan())
+    people.delete_where("id = 6")
+    backup(people, root, "a-last", overwrite=True)
+    assert backups(people.store, root) == ["a-last", "b-later", "full"]
+    verify(people.scan(), restore(people.catalog, root, "a-last", "other", "third", str(tmp_path / "third")).scan())
+    assert expire_backups(people.store, root, 1) == ["full", "b-later"]
+
+
 def test_files_are_skipped(catalog, spark):
     t = Table.create(catalog, "default", "days", "ts timestamp, name string", day_of="ts")
     t.append(spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,id) ts, concat('n', id) name FROM range(10)"))
