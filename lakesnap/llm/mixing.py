@@ -24,7 +24,7 @@ BLOCKS, BLOCK_DOCS = 1 << 16, 64
 #: Sources at most: their targets, and the blocks of each, are decided on the driver. More are an error, not left out.
 MAX_SOURCES = 100_000
 #: Output shards at least, unless given, and words of one from which there are more.
-SHARDS, SHARD_WORDS = 64, 1 << 24
+SHARDS, SHARD_WORDS = 16, 1 << 22
 
 
 def targets(sizes: list[tuple[str | None, int]], share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (3, 1, 2)) -> dict[str | None, float]:
