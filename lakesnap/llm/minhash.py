@@ -34,7 +34,7 @@ HEAVY = 1 << 18
 #: Times that the classes of a list are compared with one of them only, before any two that are still apart are.
 ROUNDS = 3
 #: Classes of a list whose pairs are formed as rows at the end; longer lists go through a prefix join.
-FEW = 64
+FEW = 32
 #: Bytes of the memo of word hashes; characters of a word that enters it.
 MEMO, LONG = 24 << 20, 64
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -163,7 +163,7 @@ def prefix_pairs(nodes: DataFrame, size: int, percent: int, steps: Steps, least:
             if n.sum():
                 yield pd.DataFrame({"node": np.repeat(pdf.node.to_numpy(), n), "component": np.repeat(pdf.component.to_numpy(), n), "n": np.repeat(n, n), "s": np.concatenate(sets)})
 
-    crowd = nodes.select("node", F.transform("signature", lambda x: x.bitwiseAND(F.lit(255)).cast("short")).alias("sketch"))
+    crowd = nodes.select("node", _sketch("signature").alias("sketch"))
     shingled = steps.written(nodes.select("node", "component", "text").mapInPandas(every, "node long, component long, n long, s long"), "shingles")
     often = shingled.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     # of each set the shingles that others have too, in order; those before them are its own alone
@@ -181,6 +181,11 @@ def prefix_pairs(nodes: DataFrame, size: int, percent: int, steps: Steps, least:
     return larger.join(smaller, "s").where(likely).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
 
 
+def _sketch(signature: str) -> F.Column:
+    """The last byte of each coordinate."""
+    return F.transform(signature, lambda x: x.bitwiseAND(F.lit(255)).cast("short"))
+
+
 def _agree(p: str, q: str) -> F.Column:
     """Number of places in which two arrays agree."""
     return F.aggregate(F.zip_with(p, q, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
@@ -237,8 +242,10 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int, steps:
             pairs = posted.where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
         else:
             many = steps.written(posted.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > FEW), "long-lists")
-            a, b = (posted.join(many, "token", "left_anti").select("token", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-            pairs = a.join(b, "token").where("a < b and ca <> cb").select("a", "b").distinct()
+            short = posted.join(many, "token", "left_anti").join(classes.select("node", F.col("n_shingles").alias("n"), _sketch("signature").alias("s")), "node")
+            a, b = (short.select("token", F.col("node").alias(n), F.col("component").alias(f"c{n}"), F.col("n").alias(f"n{n}"), F.col("s").alias(f"s{n}")) for n in "ab")
+            fits = F.expr("a < b and ca <> cb") & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            pairs = a.join(b, "token").where(fits & (_agree("sa", "sb") >= LEAST)).select("a", "b").distinct()
             crowd = posted.join(many, "token", "left_semi").select("node", "component").distinct()
             crowd = crowd.join(texts, "node").join(classes.select("node", "signature"), "node")
             pairs = pairs.union(prefix_pairs(crowd, size, percent, steps, LEAST)).distinct()
