@@ -34,7 +34,7 @@ HEAVY = 1 << 18
 #: Times that the classes of a list are compared with one of them only, before any two that are still apart are.
 ROUNDS = 3
 #: Classes of a list whose pairs are formed as rows at the end; longer lists go through a prefix join.
-FEW = 32
+FEW = 64
 #: Bytes of the memo of word hashes; characters of a word that enters it.
 MEMO, LONG = 24 << 20, 64
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -169,7 +169,9 @@ def prefix_pairs(nodes: DataFrame, size: int, percent: int, steps: Steps, least:
     # of each set the shingles that others have too, in order; those before them are its own alone
     shared = shingled.join(often, "s").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
     alone = F.col("n") - F.size("l")
-    posted = shared.select("node", "component", "n", alone.alias("alone"), F.posexplode("l").alias("k", "x")).select("node", "component", "n", (F.col("alone") + F.col("k")).alias("i"), "x.s")
+    first = F.greatest(F.lit(0), F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - alone.cast("int"))
+    shared = shared.select("node", "component", "n", alone.alias("alone"), F.slice("l", 1, first).alias("l"))
+    posted = shared.select("node", "component", "n", "alone", F.posexplode("l").alias("k", "x")).select("node", "component", "n", (F.col("alone") + F.col("k")).alias("i"), "x.s")
     posted = posted.where((F.col("n") - F.col("i")) * 100 >= percent * F.col("n"))
     posted = steps.written(posted.join(crowd, "node") if least else posted.withColumn("sketch", F.lit(None).cast("array<smallint>")), "prefixes")
     larger = posted.select("s", F.struct("n", "node").alias("p"), F.col("component").alias("cp"), (F.col("n") - F.col("i")).alias("rest_p"), F.col("sketch").alias("sp"))
