@@ -13,14 +13,22 @@ from lakesnap.operators.copying import filesystem
 from lakesnap.schemas import FIELD_IDS
 
 
+#: Deletes that Spark may broadcast, through the driver, if it takes their files for small enough. A delete takes next to
+#: nothing in its file (a path that repeats, positions in order), but hundreds of bytes in memory.
+BROADCAST = 50_000
+
+
 def with_ids(deletes: DataFrame) -> DataFrame:
     """file_path and pos with the field ids that Parquet readers of table formats look for."""
     return deletes.select(*(F.col(c).alias(c, metadata={"parquet.field.id": i}) for c, i in FIELD_IDS.items()))
 
 
-def applied(rows: DataFrame, deletes: DataFrame, path: str = "__path", pos: str = "__pos") -> DataFrame:
-    """rows without those that deletes name by file and position."""
+def applied(rows: DataFrame, deletes: DataFrame, path: str = "__path", pos: str = "__pos", n: int | None = None) -> DataFrame:
+    """rows without those that deletes name by file and position. n: number of deletes, if it is known. If it
+    isn't, or is over BROADCAST, both sides are shuffled and sorted: no process holds all deletes."""
     d = deletes.select(canonical(F.col("file_path")).alias("__d_path"), F.col("pos").alias("__d_pos"))
+    if n is None or n > BROADCAST:
+        d = d.hint("merge")
     return rows.join(d, (F.col(path) == F.col("__d_path")) & (F.col(pos) == F.col("__d_pos")), "left_anti")
 
 

@@ -154,7 +154,7 @@ class Table:
                 first, last = at("lower_bounds"), at("upper_bounds")
                 data = data.where(first.isNull() | ((first <= high) & (last >= low)))
             paths = [r.file_path for r in data.select("file_path").collect()]
-            deletes = [r.file_path for r in files.where("content = 1").select("file_path").collect()]
+            deletes = files.where("content = 1").select("file_path", "record_count").collect()
         finally:
             files.unpersist()
         if not paths:
@@ -165,7 +165,8 @@ class Table:
             return rows
         rows = rows.select(*schema.names, canonical(F.col("_metadata.file_path")).alias("__path"), F.col("_metadata.row_index").alias("__pos"))
         if deletes:
-            rows = applied(rows, self.spark.read.parquet(*deletes))
+            counts = [r.record_count for r in deletes]
+            rows = applied(rows, self.spark.read.parquet(*(r.file_path for r in deletes)), n=None if None in counts else sum(counts))
         return rows if places else rows.select(*schema.names)
 
     def count(self, snapshot_id: int | None = None) -> DataFrame:

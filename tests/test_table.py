@@ -266,6 +266,22 @@ def test_delete_files(spark, tmp_path, people):
     assert pq.read_table(f"{tmp_path}/h.parquet").column_names == ["id"]
 
 
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_deletes_are_not_broadcast(catalog, spark):
+    t = Table.create(catalog, "db", "many", "id bigint")
+    t.append(spark.range(200_000))
+    t.delete_where("id % 2 = 0")
+    t.delete_where("id % 4 = 1")
+    assert t.files().where("content = 1").agg(F.sum("file_size_in_bytes")).first()[0] < 10 << 20  # Spark would broadcast them
+    df = t.scan()
+    assert "BroadcastHashJoin" not in plan_of(df)
+    assert ids(df) == list(range(3, 200_000, 4))
+
+
 def test_verify(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
     verify(a, a.orderBy(F.desc("k")))
