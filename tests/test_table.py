@@ -282,6 +282,18 @@ def test_many_deletes_are_not_broadcast(catalog, spark):
     assert ids(df) == list(range(3, 200_000, 4))
 
 
+def test_many_deletes_of_a_restored_table(catalog, spark, tmp_path):
+    t = Table.create(catalog, "db", "many", "id bigint")
+    t.append(spark.range(120_000))
+    t.delete_where("id % 2 = 0")
+    backup(t, str(tmp_path / "backups"), "b")
+    back = restore(catalog, str(tmp_path / "backups"), "b", "elsewhere", "many")
+    assert sum(r.record_count for r in back.files().where("content = 1").collect()) == 60_000
+    df = back.scan()
+    assert "BroadcastHashJoin" not in plan_of(df)
+    assert ids(df) == list(range(1, 120_000, 2))
+
+
 def test_verify(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
     verify(a, a.orderBy(F.desc("k")))
