@@ -29,3 +29,12 @@ def test_equals_sql(spark, name):
     columns = [d[0] for d in want.description]
     df = q.queries()[name](spark, SF)
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, want.fetchall())
+
+
+@pytest.mark.parametrize("keys", ["range(1000) t(k)", "(SELECT CASE WHEN k < 3 THEN k ELSE 4 * k + 3 END AS k FROM range(1000) t(k))", "(SELECT 4 * k + 1 AS k FROM range(9) t(k) UNION ALL SELECT NULL)", "(SELECT 1 AS k WHERE false)"])
+def test_copies_are_counted_however_keys_are_spread(spark, tmp_path, keys):
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE supplier AS SELECT k::BIGINT AS s_suppkey, 'x' AS s_name FROM {keys}")
+    con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
+    want = con.execute(q.oracle_sql()["copy_outcome_policy"]).fetchall()
+    assert [tuple(r) for r in q.queries()["copy_outcome_policy"](spark, str(tmp_path)).collect()] == want
