@@ -17,6 +17,9 @@ from lakesnap.schemas import FIELD_IDS
 #: nothing in its file (a path that repeats, positions in order), but hundreds of bytes in memory.
 BROADCAST = 50_000
 
+#: Rows of a delete file that are in memory at once, and of a row group, when it is rewritten.
+BATCH = 1 << 17
+
 
 def with_ids(deletes: DataFrame) -> DataFrame:
     """file_path and pos with the field ids that Parquet readers of table formats look for."""
@@ -34,26 +37,31 @@ def applied(rows: DataFrame, deletes: DataFrame, path: str = "__path", pos: str
 
 def rewrite_file(src: str, dst: str, old: str, new: str, options: Mapping[str, str] | None = None) -> int:
     """Rewrites one delete file with paths moved from old to new, by columns; schema and field ids stay. -> new size.
-    A file without file_path is copied as it is."""
+    A file without file_path is copied as it is. Rows pass in batches: the paths of a whole file, which repeat, take next
+    to nothing there, but hundreds of bytes a row in memory."""
     import pyarrow as pa
     import pyarrow.compute as pc
     import pyarrow.parquet as pq
 
     (a, p), (b, q) = filesystem(src, options), filesystem(dst, options)
-    t = pq.read_table(p, filesystem=a)
-    if "file_path" in t.column_names:
-        at = t.schema.get_field_index("file_path")
-        distinct = t.column(at).unique().to_pylist()  # a file deletes from few files
-        move = {}
-        for x in distinct:
-            c = canonical_text(x) if x is not None else None
-            under = c is not None and (c == old or c.startswith(old + "/"))
-            move[x] = new + c[len(old) :] if under else x
-        codes = pc.index_in(t.column(at), value_set=pa.array(distinct, pa.string()))
-        moved = pa.array([move[x] for x in distinct], pa.string()).take(codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes)
-        t = t.set_column(at, t.schema.field(at), moved)
     b.create_dir(q.rsplit("/", 1)[0], recursive=True)
-    pq.write_table(t, q, filesystem=b, compression="zstd", version="2.6")
+    with a.open_input_file(p) as file:
+        deletes = pq.ParquetFile(file)
+        schema = deletes.schema_arrow
+        at = schema.get_field_index("file_path")
+        repeat = ["file_path"] if at >= 0 else True  # positions don't
+        with pq.ParquetWriter(q, schema, filesystem=b, compression="zstd", version="2.6", use_dictionary=repeat) as out:
+            for batch in deletes.iter_batches(batch_size=BATCH):
+                if at >= 0:
+                    distinct = batch.column(at).unique().to_pylist()  # a file deletes from few files
+                    moved = []
+                    for x in distinct:
+                        c = canonical_text(x) if x is not None else None
+                        under = c is not None and (c == old or c.startswith(old + "/"))
+                        moved.append(new + c[len(old) :] if under else x)
+                    codes = pc.index_in(batch.column(at), value_set=pa.array(distinct, pa.string()))
+                    batch = batch.set_column(at, schema.field(at), pa.array(moved, pa.string()).take(codes))
+                out.write_batch(batch)
     return b.get_file_info(q).size
 
 

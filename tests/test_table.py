@@ -2,6 +2,7 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -266,6 +267,28 @@ def test_delete_files(spark, tmp_path, people):
     assert pq.read_table(f"{tmp_path}/h.parquet").column_names == ["id"]
 
 
+def test_a_delete_file_is_rewritten_in_batches(tmp_path):
+    n, path = 600_000, "s3://o/t/data/" + "x" * 200
+    paths = pa.DictionaryArray.from_arrays(pa.array([k % 2 for k in range(n)], pa.int32()), [path, "s3://o/other"])
+    field = pa.field("file_path", pa.string(), metadata={"PARQUET:field_id": "2147483546"})
+    schema = pa.schema([field, pa.field("pos", pa.int64())])
+    pq.write_table(pa.table([paths.cast(pa.string()), pa.array(range(n))], schema), f"{tmp_path}/a.parquet")
+    whole, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        size = rewrite_file(f"{tmp_path}/a.parquet", f"{tmp_path}/b.parquet", "s3://o/t", "s3://new")
+    finally:
+        pa.set_memory_pool(whole)
+    assert pool.max_memory() < 60 << 20  # paths alone are 70 MB
+    assert size == (tmp_path / "b.parquet").stat().st_size
+    t = pq.read_table(f"{tmp_path}/b.parquet")
+    assert t["pos"].to_pylist() == list(range(n)) and t.schema.field("file_path").metadata[b"PARQUET:field_id"] == b"2147483546"
+    assert t["file_path"].to_pylist() == [path.replace("s3://o/t", "s3://new"), "s3://o/other"] * (n // 2)
+    pq.write_table(pa.table([[], []], schema), f"{tmp_path}/none.parquet")
+    rewrite_file(f"{tmp_path}/none.parquet", f"{tmp_path}/c.parquet", "s3://o/t", "s3://new")
+    assert pq.read_table(f"{tmp_path}/c.parquet").schema.names == ["file_path", "pos"]
+
+
 def plan_of(df):
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
