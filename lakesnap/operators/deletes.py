@@ -13,9 +13,9 @@ from lakesnap.operators.copying import filesystem
 from lakesnap.schemas import FIELD_IDS
 
 
-#: Deletes that Spark may broadcast, through the driver, if it takes their files for small enough. A delete takes next to
-#: nothing in its file (a path that repeats, positions in order), but hundreds of bytes in memory.
-BROADCAST = 50_000
+#: Deletes that Spark may broadcast, through the driver, if it takes their files for small enough, and bytes of one in
+#: memory, about; in its file it takes next to nothing (a path that repeats, positions in order).
+BROADCAST, DELETE_BYTES = 50_000, 600
 
 #: Rows of a delete file that are in memory at once, and of a row group, when it is rewritten.
 BATCH = 1 << 17
@@ -27,10 +27,12 @@ def with_ids(deletes: DataFrame) -> DataFrame:
 
 
 def applied(rows: DataFrame, deletes: DataFrame, path: str = "__path", pos: str = "__pos", n: int | None = None) -> DataFrame:
-    """rows without those that deletes name by file and position. n: number of deletes, if it is known. If it
-    isn't, or is over BROADCAST, both sides are shuffled and sorted: no process holds all deletes."""
+    """rows without those that deletes name by file and position. n: number of deletes, if it is known. If it isn't, is
+    over BROADCAST or takes more memory than the session lets tables take that are broadcast, both sides are shuffled and
+    sorted: no process holds all deletes."""
     d = deletes.select(canonical(F.col("file_path")).alias("__d_path"), F.col("pos").alias("__d_pos"))
-    if n is None or n > BROADCAST:
+    most = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if n is None or n > BROADCAST or n * DELETE_BYTES > most:
         d = d.hint("merge")
     return rows.join(d, (F.col(path) == F.col("__d_path")) & (F.col(pos) == F.col("__d_pos")), "left_anti")
 

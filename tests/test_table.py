@@ -305,6 +305,21 @@ def test_many_deletes_are_not_broadcast(catalog, spark):
     assert ids(df) == list(range(3, 200_000, 4))
 
 
+def test_deletes_that_take_more_memory_than_a_broadcast_may(catalog, spark):
+    t = Table.create(catalog, "db", "some", "id bigint")
+    t.append(spark.range(80_000))
+    t.delete_where("id % 2 = 0")  # 40,000, over the 10 MB that Spark broadcasts by default
+    df = t.scan()
+    assert "BroadcastHashJoin" not in plan_of(df)
+    assert ids(df) == list(range(1, 80_000, 2))
+    few = Table.create(catalog, "db", "few", "id bigint")
+    few.append(spark.range(80_000))
+    few.delete_where("id < 100")
+    df = few.scan()
+    assert "BroadcastHashJoin" in plan_of(df)
+    assert ids(df) == list(range(100, 80_000))
+
+
 def test_many_deletes_of_a_restored_table(catalog, spark, tmp_path):
     t = Table.create(catalog, "db", "many", "id bigint")
     t.append(spark.range(120_000))
